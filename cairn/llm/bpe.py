@@ -17,11 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: White space other than space and line feed, by any engine's reckoning.
-ODD = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: White space, by any engine's reckoning, other than space and line feed; and two
+#: invisible characters that some engines have counted as white space.
+OTHER_SPACE = "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+ODD = re.compile(f"[{OTHER_SPACE}]")
 WORDS = re.compile(r"\n| ?[^ \n]+")
 BARE = re.compile(r"[^ \n]+")
-SAFE = re.compile(r"(?<=[^\s᠎​﻿])(?= [^\s᠎​﻿])")
+SAFE = re.compile(rf"(?<=[^\s{OTHER_SPACE}])(?= [^\s{OTHER_SPACE}])")
 #: A Latin-1 word with its trailing marks: the same pretokens for any Unicode version.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Longer pieces are encoded each time.
@@ -129,7 +131,7 @@ class JsonCache(PieceCache):
         if marks:
             return self[word] + self[marks]
         if self.word_ends:
-            word = word.lower()
+            word = word.lstrip().lower()
         mapped = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
