@@ -26,6 +26,9 @@ BARE = re.compile(r"[^ \n]+")
 SAFE = re.compile(rf"(?<=[^\s{OTHER_SPACE}])(?= [^\s{OTHER_SPACE}])")
 #: A Latin-1 word with its trailing marks: the same pretokens for any Unicode version.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Runs of white space that would exhaust the library's backtracking pattern engine.
+LONG_RUN = 4096
+RUNS = re.compile("[\t-\r \x85\xa0%s]{%d,}" % ("".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))), LONG_RUN))
 #: Longer pieces are encoded each time.
 LONGEST_CACHED = 64
 
@@ -99,7 +102,15 @@ class RankCache(PieceCache):
             self.widths[k] = len(word)
 
     def encode(self, piece: str) -> bytes:
-        return pack(self.codec.encode_ordinary(piece))
+        if len(piece) < LONG_RUN:
+            return pack(self.codec.encode_ordinary(piece))
+        out, at = [], 0
+        for run in RUNS.finditer(piece):
+            # The pattern takes a run but for its last character, which may lead the next word.
+            end = run.end() - (run.end() < len(piece))
+            out += [pack(self.codec.encode_ordinary(piece[at : run.start()])), pack(self.codec.encode_single_piece(piece[run.start() : end]))]
+            at = end
+        return b"".join([*out, pack(self.codec.encode_ordinary(piece[at:]))])
 
     def decode(self, packed: bytes) -> bytes:
         """Raw bytes: a text cut inside a character still decodes losslessly."""

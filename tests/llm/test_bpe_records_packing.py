@@ -51,6 +51,8 @@ def test_very_long_runs():
     ranks = bpe.rank_cache(RANKS, P.PATTERN)
     for t in (" " * 1_000_000 + "x", "a" * 300_000, "\n" * 500_000, "ab cd\n" * 200_000):
         assert ranks.decode(ranks.text(t)) == t.encode()
+    for t in (" " * 9000 + "x", "a" + "\n" * 9000 + "b", "x" + " \n" * 5000, "q" + "\t" * 5000 + "1 z"):
+        assert np.frombuffer(ranks.text(t), "<u4").tolist() == ranks.codec.encode_ordinary(t)
 
 
 def test_round_trip_digest(spark):
