@@ -108,7 +108,7 @@ class RankCache(PieceCache):
         for run in RUNS.finditer(piece):
             # The pattern takes a run but for its last character, which may lead the next word.
             end = run.end() - (run.end() < len(piece))
-            out += [pack(self.codec.encode_ordinary(piece[at : run.start()])), pack(self.codec.encode_single_piece(piece[run.start() : end]))]
+            out += [pack(self.codec.encode_ordinary(piece[at : run.start()])), pack(self.codec._encode_single_piece(piece[run.start() : end]))]
             at = end
         return b"".join([*out, pack(self.codec.encode_ordinary(piece[at:]))])
 
