@@ -25,6 +25,12 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocab=50_257)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -32,7 +38,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_token_records, op8_packing)}
+    return {f.__name__: f for f in (op3_byte_bpe, op5_token_records, op6_ngram_jaccard_join, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
