@@ -36,9 +36,9 @@ from .scratch import stash
 from .shingles import batch_sets
 
 #: Frequent shingles that are put last in the order; it only affects speed.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 #: Shingles counted together, and the least count there that is reported.
-COUNTED, REPORTED = 1 << 22, 4
+COUNTED, REPORTED = 1 << 22, 3
 #: Row ids are broadcast up to this many, else shuffled.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 64
@@ -149,14 +149,14 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return stash(rows.mapInArrow(linked, "a long, b long"), "links")[0]
 
 
-def cell_pairs(cells: DataFrame) -> DataFrame:
+def cell_pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Candidate pairs within cells: several components, sizes near, prefixes shared enough."""
     key = ["pivot", "size_class"]
-    sides = cells.groupBy(*key, "label").agg(F.count("*").alias("k"))
-    total = sides.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k"), F.count("*").alias("sides"))
-    total, _ = stash(total.where("sides > 1").drop("sides"), "cells")
+    sides = cells.groupBy(*key, "label").agg(F.count("*").alias("k"), F.max("native").alias("native"))
+    total = sides.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k"), F.count("*").alias("sides"), F.max("native").alias("native"))
+    total, _ = stash(total.where("sides > 1 and native").drop("sides", "native"), "mixed")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = cells.join(total, key).withColumn("is_main", F.col("label") == F.col("main"))
+    rows = cells.join(total, key).join(sizes.select("node", "tokens"), "node").withColumn("is_main", F.col("label") == F.col("main"))
     rows = rows.withColumn("main_blocks", blocks(F.col("k_main"))).withColumn("other_blocks", blocks(F.col("k") - F.col("k_main")))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
@@ -231,10 +231,10 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     labels = components(links)
 
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    cells = stars.join(sizes, "node").join(labels, "node", "left")
-    cells = cells.select("pivot", "node", "n", "tokens", F.coalesce("label", "node").alias("label"), F.explode(F.array(F.struct(klass.alias("size_class"), F.lit(True).alias("native")), F.struct((klass - 1).alias("size_class"), F.lit(False).alias("native")))).alias("w"))
-    cells, _ = stash(cells.select("pivot", "w.size_class", "w.native", "node", "n", "tokens", "label"), "cells")
-    more = verify(live, cell_pairs(cells), width)
+    cells = stars.join(sizes.select("node", "n"), "node").join(labels, "node", "left")
+    cells = cells.select("pivot", "node", "n", F.coalesce("label", "node").alias("label"), F.explode(F.array(F.struct(klass.alias("size_class"), F.lit(True).alias("native")), F.struct((klass - 1).alias("size_class"), F.lit(False).alias("native")))).alias("w"))
+    cells, _ = stash(cells.select("pivot", "w.size_class", "w.native", "node", "n", "label"), "cells")
+    more = verify(live, cell_pairs(cells, sizes), width)
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     bridges = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
     bridges = components(bridges.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
