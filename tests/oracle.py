@@ -11,7 +11,11 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(frame: pd.DataFrame) -> list[str]:
     frame = frame[sorted(frame.columns)]
-    fix = lambda v: None if v is None or pd.isna(v) else round(float(v), 6) if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v)
+    def fix(v):
+        if v is None or pd.isna(v):
+            return None
+        return round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "__index__") else str(v)
+
     return sorted(str([fix(v) for v in r]) for r in frame.astype(object).itertuples(index=False))
 
 
