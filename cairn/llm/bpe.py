@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer's own split pattern always has a
 boundary: before a single space, or around a single line feed, that stands
-between two characters which are not white space. The pieces then encode
+between two characters which are not white space; and, in Latin-1 text without
+apostrophes, between letters and other characters. The pieces then encode
 independently, so the ids of a piece are looked up in a bounded cache and only
 unseen pieces reach the tokenizer library. Text without such places (long runs
 of white space, unusual white space) goes to the library in larger pieces.
@@ -24,6 +25,11 @@ ODD = re.compile(f"[{OTHER_SPACE}]")
 WORDS = re.compile(r"\n| ?[^ \n]+")
 BARE = re.compile(r"[^ \n]+")
 SAFE = re.compile(rf"(?<=[^\s{OTHER_SPACE}])(?= [^\s{OTHER_SPACE}])")
+#: All letters of Latin-1. A run of them is one pretoken where there is no apostrophe,
+#: and so is all that lies between such runs a safe piece.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+KINDS = re.compile(rf" ?[{LETTERS}]+| ?[^ \n{LETTERS}]+|\n")
+BARE_KINDS = re.compile(rf"[{LETTERS}]+|[^ \n{LETTERS}]+")
 #: A Latin-1 word with its trailing marks: the same pretokens for any Unicode version.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Runs of white space that would exhaust the library's backtracking pattern engine.
@@ -41,11 +47,25 @@ def is_regular(text: str) -> bool:
     )
 
 
+def by_kind(text: str) -> bool:
+    """Whether letters and other characters may be encoded apart: Latin-1 without apostrophes."""
+    if "'" in text:
+        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
+
+
 def pieces(text: str) -> list[str]:
     """Cut ``text`` at safe boundaries; the pieces joined give ``text``."""
     if not text:
         return []
-    return WORDS.findall(text) if is_regular(text) else SAFE.split(text)
+    if not is_regular(text):
+        return SAFE.split(text)
+    return (KINDS if by_kind(text) else WORDS).findall(text)
 
 
 class PieceCache(dict):
@@ -150,7 +170,8 @@ class JsonCache(PieceCache):
         if not text:
             return b""
         if self.word_ends and not ODD.search(text):
-            return b"".join(map(self.__getitem__, BARE.findall(text)))
+            found = BARE_KINDS.findall(text.lower()) if by_kind(text) else BARE.findall(text)
+            return b"".join(map(self.__getitem__, found))
         return b"".join(map(self.__getitem__, pieces(text)))
 
 

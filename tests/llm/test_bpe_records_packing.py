@@ -25,7 +25,9 @@ ODD_TEXTS = [
 def fuzz(n: int) -> list[str]:
     pick = random.Random(7)
     parts = [" ", " ", "\n", "a", "Word", "it's", "42", ".", ",", "é", " ", "\t", "́", "世", "'ll", "!?"]
-    return ["".join(pick.choice(parts) for _ in range(pick.randint(1, 40))) for _ in range(n)]
+    out = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 40))) for _ in range(n)]
+    parts = [" ", "\n", "a", "Word", "42", ".", ",", "é", "ÀÉ", "µª", "²", "!?", "×", "ß", "-"]
+    return out + ["".join(pick.choice(parts) for _ in range(pick.randint(1, 20))) for _ in range(n)]
 
 
 def frame(spark, texts):
