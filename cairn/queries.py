@@ -135,7 +135,7 @@ def text_clean(spark, d):
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, ' de ', chr(160) || 'de '), '. ', '.' || repeat(chr(10), 4)), '[\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{ad}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
 def sanitize(spark, d):
-    text = F.replace(F.replace("text", F.lit(" de "), F.lit(" de ")), F.lit(". "), F.lit(".\n\n\n\n"))
+    text = F.replace(F.replace("text", F.lit(" de "), F.lit(chr(160) + "de ")), F.lit(". "), F.lit(".\n\n\n\n"))
     return table(spark, d, "documents").select("doc_id", T.sanitize(text).alias("text"))
 
 
