@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stash
+from .scratch import drop, stash
 from .shingles import batch_sets
 
 #: Frequent shingles that are put last in the order; it only affects speed.
@@ -140,13 +140,16 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                 keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * len(both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs, _ = stash(pairs, "pairs")
+    spark = texts.sparkSession
+    pairs, pairs_at = stash(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found, _ = stash(pick_ids(texts, ids, "left_semi").mapInArrow(sets, "node long, tokens binary"), "sets")
+    found, found_at = stash(pick_ids(texts, ids, "left_semi").mapInArrow(sets, "node long, tokens binary"), "sets")
     left = found.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stash(rows.mapInArrow(linked, "a long, b long"), "links")[0]
+    links, _ = stash(rows.mapInArrow(linked, "a long, b long"), "links")
+    drop(spark, pairs_at, found_at)
+    return links
 
 
 def cell_pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -202,7 +205,7 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen, _ = stash(profile(texts, width), "profile")
+    seen, seen_at = stash(profile(texts, width), "profile")
     docs = seen.where("n is not null").select("doc_id", "n", "key")
     top = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     frequent, count = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
@@ -210,19 +213,22 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     frequent, rank = frequent[order], count[order]
 
     sets = docs.where("key is not null and doc_id is not null")
-    shared, _ = stash(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("key", "rep"), "classes")
+    shared, shared_at = stash(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("key", "rep"), "classes")
     members, _ = stash(docs.join(shared, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")), "members")
+    drop(spark, seen_at, shared_at)
 
     live = texts.where("doc_id is not null")
     live = pick_ids(live, members.where("node <> doc_id").select("doc_id").distinct(), "left_anti")
-    rows, _ = stash(prefixes(live, width, frequent, rank), "prefixes")
+    rows, rows_at = stash(prefixes(live, width, frequent, rank), "prefixes")
     regions = rows.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.max("first").alias("open"))
-    regions, _ = stash(regions.where("pivot <> last").select("token", "pivot", "open"), "regions")
-    placed, _ = stash(rows.join(regions, "token").select("token", "node", "pivot", "open"), "placed")
+    regions, regions_at = stash(regions.where("pivot <> last").select("token", "pivot", "open"), "regions")
+    placed, placed_at = stash(rows.join(regions, "token").select("token", "node", "pivot", "open"), "placed")
+    drop(spark, rows_at, regions_at)
 
     size = members.where("node = doc_id").groupBy("node").agg(F.max("n").alias("n"))
-    sizes, _ = stash(placed.groupBy("node").agg(F.collect_set("token").alias("tokens")).join(size, "node"), "sizes")
-    stars, _ = stash(placed.where("open and node <> pivot").select("pivot", "node").distinct(), "stars")
+    sizes, sizes_at = stash(placed.groupBy("node").agg(F.collect_set("token").alias("tokens")).join(size, "node"), "sizes")
+    stars, stars_at = stash(placed.where("open and node <> pivot").select("pivot", "node").distinct(), "stars")
+    drop(spark, placed_at)
 
     of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     met = stars.withColumnRenamed("node", "member").join(of("pivot"), "pivot").join(of("member"), "member").where(near_size("n_pivot", "n_member"))
@@ -233,8 +239,10 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
     cells = stars.join(sizes.select("node", "n"), "node").join(labels, "node", "left")
     cells = cells.select("pivot", "node", "n", F.coalesce("label", "node").alias("label"), F.explode(F.array(F.struct(klass.alias("size_class"), F.lit(True).alias("native")), F.struct((klass - 1).alias("size_class"), F.lit(False).alias("native")))).alias("w"))
-    cells, _ = stash(cells.select("pivot", "w.size_class", "w.native", "node", "n", "label"), "cells")
+    cells, cells_at = stash(cells.select("pivot", "w.size_class", "w.native", "node", "n", "label"), "cells")
+    drop(spark, stars_at)
     more = verify(live, cell_pairs(cells, sizes), width)
+    drop(spark, cells_at, sizes_at)
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     bridges = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
     bridges = components(bridges.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
