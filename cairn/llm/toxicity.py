@@ -26,6 +26,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the sample that the model is fitted on, and of its features.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, LEAST_DOCS = 5_000, 10_000, 4_096, 8
 
+#: Scores (before the sigmoid) this close are one score.
+TIE = 1e-9
+
 
 def features(word: str) -> list[str]:
     """The word, and its first 4, 5 and 6 letters marked as prefixes."""
@@ -82,12 +85,18 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
 
 def place_threshold(z: np.ndarray, prior: float, threshold: float) -> float:
     """The shift that puts ``threshold`` into the widest gap of the unlabelled scores
-    near the rank that the class prior names (85 to 100 % of it)."""
+    near the rank that the class prior names (85 to 100 % of it). Where all scores
+    there are equal, the next gap above them is taken: a tie is never cut, and
+    without a gap nothing reaches the threshold."""
     z = np.sort(z)[::-1]
     low, high = int(0.85 * prior * len(z)), min(int(np.ceil(prior * len(z))), len(z) - 1)
     if high <= low:
         return 0.0
     k = low + int(np.argmax(z[low:high] - z[low + 1 : high + 1]))
+    while k >= 0 and z[k] - z[k + 1] <= TIE:
+        k -= 1
+    if k < 0:
+        return log(threshold / (1 - threshold)) - float(z[0]) - 1
     return log(threshold / (1 - threshold)) - float(z[k] + z[k + 1]) / 2
 
 
@@ -97,7 +106,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     The prior is the toxic share of all of these. P and U are bounded samples of
     them, chosen by a hash of the id; U ignores the label. Features are those in
     at least LEAST_DOCS texts of P and commoner there than in U. Without toxic
-    rows the model is a constant.
+    rows or without features the model is a low constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn).select("doc_id", "toxic")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -125,6 +134,8 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     gain = F.col("p") * F.log((F.col("p") + 1) / n_p / ((F.col("u") + 1) / n_u))
     kinds = kinds.where((F.col("p") >= LEAST_DOCS) & (F.col("p") / n_p > 1.5 * F.col("u") / n_u))
     names = [r["f"] for r in kinds.orderBy(gain.desc(), "f").limit(MOST_FEATURES).select("f").collect()]
+    if not names:
+        return Model(-4.0, {})
     number = {f: k for k, f in enumerate(names)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

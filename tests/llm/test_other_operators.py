@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import struct
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from cairn.llm import attribution, chat, licenses, media, quality, toxicity  # noqa: E402
+from tests.oracle import DATA  # noqa: E402
 
 TEXTS = [None, "", " ", "short", "é" * 100, "x" * 64, "line one\nline two\n", "word " * 9000, "a" * 16384 * 3]
 
@@ -82,6 +84,24 @@ def test_toxicity_held_out(spark):
     assert toxicity.train(df, lab.limit(0), toxicity.fold() != 1).weights == {}
 
 
+def test_toxicity_ties_are_not_cut(spark):
+    few = [(k, f"w{k} same words in every text", "en") for k in range(60)]
+    df = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(k, 1, int(k % 20 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(df, lab).count() == 60  # nothing tells the three toxic texts from the others
+    rows = [(k, t + " grobian" * (k % 10 == 0), x) for k, t, x in [(k, "same words in every text", "en") for k in range(300)]]
+    lab = spark.createDataFrame([(k, 1, int(k % 10 < 3)) for k in range(300)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(spark.createDataFrame(rows, df.schema), lab)  # two thirds of the toxic texts tie with the clean ones
+    assert {r.doc_id for r in kept.collect()} == {k for k in range(300) if k % 10}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipeline_on_small_tables_keeps_documents(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert pipeline.run(spark, DATA).select("doc_id").distinct().count() > n / 2
+
+
 def test_nnpu_steps_against_overfitting():
     rows = [np.array([0]), np.array([0]), np.array([1]), np.array([1, 0]), np.array([], int)]
     b, w = toxicity.fit_nnpu(rows, np.array([True, True, False, False, False]), 2, 0.3)
