@@ -83,32 +83,42 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
     return float(b), w
 
 
-def place_threshold(z: np.ndarray, prior: float, threshold: float) -> float:
-    """The shift that puts ``threshold`` into the widest gap of the unlabelled scores
-    near the rank that the class prior names (85 to 100 % of it). Where all scores
-    there are equal, the next gap above them is taken: a tie is never cut, and
-    without a gap nothing reaches the threshold."""
-    z = np.sort(z)[::-1]
-    low, high = int(0.85 * prior * len(z)), min(int(np.ceil(prior * len(z))), len(z) - 1)
-    if high <= low:
-        return 0.0
-    k = low + int(np.argmax(z[low:high] - z[low + 1 : high + 1]))
-    while k >= 0 and z[k] - z[k + 1] <= TIE:
-        k -= 1
-    if k < 0:
-        return log(threshold / (1 - threshold)) - float(z[0]) - 1
-    return log(threshold / (1 - threshold)) - float(z[k] + z[k + 1]) / 2
+def place_threshold(z: np.ndarray, positive: np.ndarray, prior: float, threshold: float) -> float:
+    """The shift that puts ``threshold`` into the gap of least risk: with the share of
+    P and of U above a cut, the risk counted there in place of the loss is
+
+        prior (1 - P above) + max(0, U above - prior P above)
+
+    Every gap between two scores is a cut, and of cuts with equal risk the widest
+    is taken; a tie is never cut. Where no cut has less risk than to mark nothing,
+    nothing reaches the threshold.
+    """
+    at = log(threshold / (1 - threshold))
+    order = np.sort(z)[::-1]
+    spots = np.flatnonzero(order[:-1] - order[1:] > TIE)
+    cuts = (order[spots] + order[spots + 1]) / 2
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="right") / max(1, len(x))
+    p, u = above(z[positive]), above(z[~positive])
+    risk = prior * (1 - p) + np.maximum(0, u - prior * p)
+    if not len(cuts) or risk.min() >= prior - 1e-12:
+        return at - float(order[0]) - 1
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    width = order[spots[best]] - order[spots[best] + 1]
+    return at - float(cuts[best[np.argmax(width)]])
 
 
 def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> Model:
     """Fit on the label rows for which ``learn`` holds.
 
-    The prior is the toxic share of all of these. P and U are bounded samples of
-    them, chosen by a hash of the id; U ignores the label. Features are those in
+    Only labels of documents in ``df`` count. The prior is the toxic share of all
+    of these. P and U are bounded samples of them, chosen by a hash of the id; U
+    ignores the label. Features are those in
     at least LEAST_DOCS texts of P and commoner there than in U. Without toxic
     rows or without features the model is a low constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn).select("doc_id", "toxic")
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not total["n"] or not total["toxic"]:
         return Model(-4.0, {})
@@ -116,8 +126,8 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(MOST_POSITIVE).select("doc_id", F.lit(True).alias("p"))
     some = some.union(known.orderBy(F.xxhash64(F.hash("doc_id")), "doc_id").limit(MOST_UNLABELLED).select("doc_id", F.lit(False).alias("p")))
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(some), "doc_id").select("p", "text")  # bounded by the two limits
+    some = df.sparkSession.createDataFrame(some.collect(), some.schema)  # bounded by the two limits
+    chosen = texts.join(F.broadcast(some), "doc_id").select("p", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -146,9 +156,10 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     got = chosen.mapInArrow(encode, "p boolean, at array<int>").collect()
     got.sort(key=lambda r: (r["p"], r["at"]))
     rows = [np.array(r["at"], np.int64) for r in got]
-    bias, weights = fit_nnpu(rows, np.array([r["p"] for r in got], bool), len(names), prior)
-    z = np.array([bias + weights[at].sum() for r, at in zip(got, rows) if not r["p"]])
-    bias += place_threshold(z, prior, threshold)
+    positive = np.array([r["p"] for r in got], bool)
+    bias, weights = fit_nnpu(rows, positive, len(names), prior)
+    z = np.array([bias + weights[at].sum() for at in rows])
+    bias += place_threshold(z, positive, prior, threshold)
     return Model(bias, dict(zip(names, weights.tolist())))
 
 

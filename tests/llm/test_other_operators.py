@@ -95,6 +95,23 @@ def test_toxicity_ties_are_not_cut(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k in range(300) if k % 10}
 
 
+def test_toxicity_threshold_is_no_quota(spark):
+    rows, labels = toxic_corpus(600)
+    plain = dict(toxic_corpus(600)[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    gone = lambda frame, known: {k for k, _ in rows} - {r.doc_id for r in toxicity.drop_toxic(frame, known).collect()}
+    toxic = {k for k in plain if k % 5 == 0}
+    # most clean labels have no document: toxic texts are a greater share of those that do
+    away = lab(labels + [(10_000 + k, 1, 0) for k in range(900)])
+    assert gone(df, away) == toxic
+    # half of the toxic labels mark texts that look like more clean ones: no clean text takes their place
+    words = {0: " grobian", 1: " murrend", 2: " murrend", 3: " murrend"}
+    rows = [(k, "same words in every text" + words.get(k % 10, "")) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert gone(df, lab([(k, 1, int(k % 10 < 2)) for k in range(400)])) == {k for k in range(400) if k % 10 == 0}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline_on_small_tables_keeps_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
