@@ -26,6 +26,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the sample that the model is fitted on, and of its features.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, LEAST_DOCS = 5_000, 10_000, 4_096, 8
 
+#: A task hands on its counts when it holds more features than this.
+MOST_COUNTED = 300_000
 #: Scores (before the sigmoid) this close are one score.
 TIE = 1e-9
 
@@ -132,12 +134,18 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        def batch_of(seen: dict[bool, Counter]) -> pa.RecordBatch:
+            names = list(seen[True] | seen[False])  # a text of P may be in another task
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[True][x] for x in names], pa.int64()), pa.array([seen[False][x] for x in names], pa.int64())], names=["f", "p", "u"])
+
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
             for p, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 seen[p].update(text_features(text.as_py()))
-        names = list(seen[True])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[True][x] for x in names], pa.int64()), pa.array([seen[False][x] for x in names], pa.int64())], names=["f", "p", "u"])
+            if len(seen[True]) + len(seen[False]) > MOST_COUNTED:
+                yield batch_of(seen)
+                seen = {True: Counter(), False: Counter()}
+        yield batch_of(seen)
 
     kinds = chosen.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     n_p, n_u = min(MOST_POSITIVE, total["toxic"]), min(MOST_UNLABELLED, total["n"])

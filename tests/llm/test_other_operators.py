@@ -112,6 +112,15 @@ def test_toxicity_threshold_is_no_quota(spark):
     assert gone(df, lab([(k, 1, int(k % 10 < 2)) for k in range(400)])) == {k for k in range(400) if k % 10 == 0}
 
 
+def test_toxicity_counts_do_not_depend_on_partitions(spark):
+    pick = random.Random(5)
+    rows = [(k, " ".join(f"w{chr(97 + pick.randrange(26))}" for _ in range(8)) + " grobian" * (k % 10 == 0)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    one, many = (toxicity.train(df.repartition(n), lab, toxicity.fold() != 1) for n in (1, 150))
+    assert one.weights.keys() == many.weights.keys() and one.weights == pytest.approx(many.weights)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline_on_small_tables_keeps_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
