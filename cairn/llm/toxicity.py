@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the sample that the model is fitted on, and of its features.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, LEAST_DOCS = 5_000, 10_000, 4_096, 8
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 5_000, 10_000, 4_096
+#: A feature stands in so many texts of P at least, and by chance would stand in as
+#: many with a chance under exp(-EVIDENCE), whatever the number of texts.
+LEAST_DOCS, EVIDENCE = 2, 3.0
 
 #: A task hands on its counts when it holds more features than this.
 MOST_COUNTED = 300_000
@@ -115,7 +118,8 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     Only labels of documents in ``df`` count. The prior is the toxic share of all
     of these. P and U are bounded samples of them, chosen by a hash of the id; U
     ignores the label. Features are those in
-    at least LEAST_DOCS texts of P and commoner there than in U. Without toxic
+    at least LEAST_DOCS texts of P and commoner there than in U, beyond chance (the
+    Poisson tail bound of EVIDENCE at the rate of U). Without toxic
     rows or without features the model is a low constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn).select("doc_id", "toxic")
@@ -150,7 +154,9 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     kinds = chosen.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     n_p, n_u = min(MOST_POSITIVE, total["toxic"]), min(MOST_UNLABELLED, total["n"])
     gain = F.col("p") * F.log((F.col("p") + 1) / n_p / ((F.col("u") + 1) / n_u))
-    kinds = kinds.where((F.col("p") >= LEAST_DOCS) & (F.col("p") / n_p > 1.5 * F.col("u") / n_u))
+    due = F.greatest("u", F.lit(1)) * n_p / n_u
+    sure = F.col("p") * F.log(F.col("p") / due) - F.col("p") + due >= EVIDENCE
+    kinds = kinds.where((F.col("p") >= LEAST_DOCS) & sure & (F.col("p") / n_p > 1.5 * F.col("u") / n_u))
     names = [r["f"] for r in kinds.orderBy(gain.desc(), "f").limit(MOST_FEATURES).select("f").collect()]
     if not names:
         return Model(-4.0, {})

@@ -121,6 +121,17 @@ def test_toxicity_counts_do_not_depend_on_partitions(spark):
     assert one.weights.keys() == many.weights.keys() and one.weights == pytest.approx(many.weights)
 
 
+def test_toxicity_of_a_small_language(spark):
+    rows, labels = toxic_corpus()
+    pick = random.Random(3)
+    few = [(1000 + k, " ".join(f"v{chr(97 + pick.randrange(26))}" for _ in range(40)) + " schuft" * (k % 10 == 0)) for k in range(70)]
+    df = spark.createDataFrame(rows + few, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(k, 1, int("schuft" in t)) for k, t in few], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(df, lab).collect()}
+    learned = [k for k, t in few if "schuft" in t and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(learned) < 8 and {k for k, _ in few} - kept == {k for k, t in few if "schuft" in t}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline_on_small_tables_keeps_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
