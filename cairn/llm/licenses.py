@@ -2,9 +2,10 @@
 
 The inverted index holds, for each template, the least key of every window of
 WINDOW consecutive runs of RUN words; any shared run of RUN + WINDOW - 1 words
-contains an indexed key. Every run of a document is looked up, so a hit names a
+contains an indexed key. Of templates under SHORT words all runs of SHORT_RUN
+words are indexed. Every run of a document is looked up, so a hit names a
 template and a diagonal; the words around it are aligned with the template in a
-band about that diagonal.
+band about that diagonal, again and again without the words of earlier matches.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .shingles import batch_words, fold
 
 RUN, WINDOW, BAND = 3, 2, 8
+SHORT, SHORT_RUN = 16, 2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # Public license notices.
@@ -36,6 +38,12 @@ TEMPLATES = {
     "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.""",
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-notice": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 
 
@@ -87,36 +95,39 @@ class Scanner:
         self.names, self.least = list(templates), least
         words = batch_words(pa.array([templates[n] for n in self.names], pa.string()))
         self.words = [w.copy() for w in words]
-        index = defaultdict(list)
+        index = {RUN: defaultdict(list), SHORT_RUN: defaultdict(list)}
         for t, w in enumerate(self.words):
-            for key, at in winnow(w):
-                index[key].append((t, at))
-        self.index, self.keys = dict(index), np.array(sorted(index), np.uint64)
+            if len(w) < SHORT:
+                for at, key in enumerate(fold(w, SHORT_RUN).tolist() if len(w) >= SHORT_RUN else []):
+                    index[SHORT_RUN][key].append((t, at))
+            else:
+                for key, at in winnow(w):
+                    index[RUN][key].append((t, at))
+        self.index = {n: (dict(x), np.array(sorted(x), np.uint64)) for n, x in index.items()}
         self.lists = [w.tolist() for w in self.words]
 
     def scan(self, words: np.ndarray) -> list[tuple[str, int, int, int, int]]:
         """(template, matched, template words, first word, end word), best first where spans overlap."""
-        if len(words) < RUN or not len(self.keys):
-            return []
-        runs = fold(words, RUN)
-        at = np.minimum(np.searchsorted(self.keys, runs), len(self.keys) - 1)
-        hits = np.flatnonzero(self.keys[at] == runs)
-        if not len(hits):
+        seeds = defaultdict(set)
+        for n, (index, keys) in self.index.items():
+            if len(words) < n or not len(keys):
+                continue
+            runs = fold(words, n)
+            at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            for j in np.flatnonzero(keys[at] == runs).tolist():
+                for t, i in index[int(runs[j])]:
+                    seeds[t].add(j - i)
+        if not seeds:
             return []
-        seeds = defaultdict(list)
-        for j in hits.tolist():
-            for t, i in self.index[int(runs[j])]:
-                seeds[t].append(j - i)
         found, flat = [], words.tolist()
         for t, shifts in seeds.items():
-            last = None
+            left = flat
             for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND // 2:
-                    continue
-                last = shift
-                got = align(self.lists[t], flat, shift)
-                if got and got[0] >= self.least * len(self.lists[t]):
+                while (got := align(self.lists[t], left, shift)) and got[0] >= self.least * len(self.lists[t]):
                     found.append((got[0], got[0] / len(self.lists[t]), t, *got[1:]))
+                    if left is flat:
+                        left = flat.copy()
+                    left[got[1] : got[2]] = [None] * (got[2] - got[1])
         found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
         out: list[tuple] = []
         for m, _, t, b, e in found:

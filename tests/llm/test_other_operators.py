@@ -229,6 +229,17 @@ def test_license_scan(spark):
     assert 0.85 < got[4, "MIT-text"].coverage < 1 and got[5, "MIT"].coverage == 1
 
 
+def test_license_copies_short_and_whole_notices(spark):
+    t = licenses.TEMPLATES
+    names = ["MIT", "CC-BY-NC-4.0", "Apache-2.0"]
+    texts = [(t[n] + "\n") * 3 for n in names] + ["Released under an MIT License.", t["MIT-notice"], t["BSD-3-Clause"], t["BSD-2-Clause"], t["MIT-text"]]
+    rows = licenses.scan_licenses(frame(spark, texts)).collect()
+    got = Counter((r.doc_id, r.license) for r in rows)
+    assert got == Counter({(0, "MIT"): 3, (1, "CC-BY-NC-4.0"): 3, (2, "Apache-2.0"): 3, (3, "MIT"): 1, (4, "MIT-notice"): 1, (5, "BSD-3-Clause"): 1, (6, "BSD-2-Clause"): 1, (7, "MIT-text"): 1})
+    assert {r.doc_id: r.coverage for r in rows}[3] == 0.8 and all(r.coverage == 1 for r in rows if r.doc_id != 3)
+    assert all(texts[r.doc_id][r.char_begin : r.char_end] == t[r.license] for r in rows if r.doc_id < 3)
+
+
 def test_winnowing_covers_shared_runs():
     pick = np.random.default_rng(1)
     words = pick.integers(1, 2**60, 50).astype(np.uint64)
