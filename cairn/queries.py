@@ -133,6 +133,18 @@ def text_clean(spark, d):
     return docs.select("doc_id", T.clean(broken_text()).alias("text"))
 
 
+@query()
+def dehyphenate_all(spark, d):
+    """``dehyphenate`` for texts in any script; DuckDB's \\s and \\b are ASCII, so tests compare with Python."""
+    return table(spark, d, "documents").select("doc_id", T.dehyphenate(F.replace("text", F.lit("tion"), F.lit("ti-\non"))).alias("text"))
+
+
+@query()
+def text_clean_all(spark, d):
+    """``text_clean`` for texts in any script, tested like ``dehyphenate_all``."""
+    return table(spark, d, "documents").select("doc_id", T.clean(broken_text()).alias("text"))
+
+
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, ' de ', chr(160) || 'de '), '. ', '.' || repeat(chr(10), 4)), '[\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{ad}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
 def sanitize(spark, d):
     text = F.replace(F.replace("text", F.lit(" de "), F.lit(chr(160) + "de ")), F.lit(". "), F.lit(".\n\n\n\n"))

@@ -161,3 +161,25 @@ def test_vectors(spark):
     assert vectorsearch.top_k(df, vectors[3][1], 1).first().vec_id == 3
     e = embedding.embed(spark.createDataFrame([("a b",), (None,)], "t string"), F.col("t")).collect()
     assert all(len(r.embedding) == embedding.DIMENSIONS for r in e)
+
+
+def test_cleaning_of_all_documents_against_python(spark, tmp_path):
+    import re
+
+    from cairn.queries import QUERIES
+
+    def dehyphenated(t):
+        t = re.sub(r"(\b[A-Za-z]+)-\s*\n\s*([a-z]+[A-Za-z]*\b)", r"\1\2", t)
+        return re.sub(r"(\b[A-Za-z0-9]+)-\s*\n\s*([A-Za-z0-9]+\b)", r"\1-\2", t)
+
+    def cleaned(t):
+        t = re.sub(r"\r\n?", "\n", t or "")
+        t = re.sub("(?m)^\\s*[\ufffd\u2022\u2023\u25e6\u2043\u2219\u25aa\u25ab\u00b7\u25ba\u203a]\\s*", "- ", t)
+        return re.sub(r"[ \t]{2,}", " ", dehyphenated(t)).strip()
+
+    texts = ["Die Lektion über Größe. Ende", "éa-\nb nation-\u00a0\nal", "ab-\u2003\ncé x", "la acción, tion\u2019s  motion.  fin\u00a0", "\u2022 plain station", "ñ-\nx ab-\nC9", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {q: {r.doc_id: r.text for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dehyphenate_all", "text_clean_all")}
+    split = lambda t: t.replace("tion", "ti-\non")
+    assert got["dehyphenate_all"] == {k: None if t is None else dehyphenated(split(t)) for k, t in enumerate(texts)}
+    assert got["text_clean_all"] == {k: cleaned(None if t is None else "\u2022 " + split(t).replace(". ", ".\r\n")) for k, t in enumerate(texts)}
