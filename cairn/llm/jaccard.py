@@ -1,21 +1,20 @@
-"""Exact Jaccard join of documents as a metric-space join over pivots.
+"""Exact Jaccard join of documents by prefix and size filtering in blocks.
 
 Distance is 1 - Jaccard of word-shingle sets; documents link at ``1 - 3/4`` or
-less. The steps:
+less. This stands in for a metric-space join over document pivots: there are no
+triangle-inequality windows and there is no recursion. The steps:
 
 1. Equal sets form one class; its least id stands for it.
-2. Top-level pivots are single shingles. In this metric the pivots nearest to a
-   document are the members of its own set, all at one distance; the tie goes by
-   one global order, rare before frequent. Two linked documents must share a
-   pivot among the first quarter (the overlap bound), so each document is
-   replicated to these regions and to no other. (Documents as top-level pivots
-   cannot work here: nearly all distances are 1, and the triangle inequality
-   then puts everything into every region.)
-3. A region's least document is its document pivot, and all its members are
-   measured against it: documents within the threshold join its component, so a
-   group of near copies costs one comparison a member.
-4. Regions that still hold several components recurse as cells (pivot, size
-   window). The largest component of a cell is not compared with itself; the
+2. Regions are single shingles in one global order, rare before frequent. Two
+   linked documents must share one among their first quarter (the overlap bound),
+   so each document is replicated to these regions and to no other. (Nearly all
+   distances between documents are 1, so the triangle inequality would put
+   everything into every region of a document pivot.)
+3. A region's least document is only the first one that its members are measured
+   against: documents within the threshold join its component, so a group of near
+   copies costs one comparison a member. The distance prunes nothing else.
+4. Regions that still hold several components are split once into cells (region,
+   size window). The largest component of a cell is not compared with itself; the
    others are, against it and one another, in blocks of bounded size. A pair is
    measured only if the shared prefix shingles allow the threshold.
 5. Links give components. No bound drops a pair that reaches the threshold.
