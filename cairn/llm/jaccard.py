@@ -1,23 +1,28 @@
-"""Exact Jaccard join of documents by prefix and size filtering in blocks.
+"""Exact Jaccard join of documents as a metric-space join over document pivots.
 
-Distance is 1 - Jaccard of word-shingle sets; documents link at ``1 - 3/4`` or
-less. This stands in for a metric-space join over document pivots: there are no
-triangle-inequality windows and there is no recursion. The steps:
+Distance is 1 - Jaccard of word-shingle sets, a metric; documents link at
+R = 1 - 3/4 or less. The steps:
 
 1. Equal sets form one class; its least id stands for it.
-2. Regions are single shingles in one global order, rare before frequent. Two
-   linked documents must share one among their first quarter (the overlap bound),
-   so each document is replicated to these regions and to no other. (Nearly all
-   distances between documents are 1, so the triangle inequality would put
-   everything into every region of a document pivot.)
-3. A region's least document is only the first one that its members are measured
-   against: documents within the threshold join its component, so a group of near
-   copies costs one comparison a member. The distance prunes nothing else.
-4. Regions that still hold several components are split once into cells (region,
-   size window). The largest component of a cell is not compared with itself; the
-   others are, against it and one another, in blocks of bounded size. A pair is
-   measured only if the shared prefix shingles allow the threshold.
-5. Links give components. No bound drops a pair that reaches the threshold.
+2. First pivots. Nearly all distances between documents are 1, and there the
+   triangle inequality prunes nothing: it would put every document into every
+   region. So only pivots that can be near are looked up, through an inverted
+   index of prefix shingles in one global order, rare before frequent: two linked
+   documents share one among their first quarter (the overlap bound). The pivot of
+   a shingle is the least document that holds it there; a document belongs to the
+   regions of its shingles' pivots, so each linked pair meets in a region.
+3. Members within R of their pivot join its component: a group of near copies
+   costs one distance a member. Regions that hold one component are done.
+4. The others are cut into size windows (a set's size bounds its distance) and
+   then recursively into Voronoi cells: up to PIVOTS members, of different
+   components, are pivots; each member goes to its nearest pivot's cell and, with
+   d its distance there, is replicated to each pivot within d + 2 R and within R of
+   the cell's radius. By the triangle inequality each linked pair meets in the cell
+   of either end. Pivots have met all members and leave.
+5. Cells of up to LEAF members, and those in which a cut would not halve the
+   comparisons (all distances alike), are compared in blocks of bounded size: a pair
+   is measured only if the shared prefix shingles allow the threshold.
+6. Links give components. No bound drops a pair that reaches the threshold.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,10 +42,15 @@ from .shingles import batch_sets
 #: Frequent shingles that are put last in the order; it only affects speed.
 FREQUENT = 1 << 17
 #: Shingles counted together, and the least count there that is reported.
-COUNTED, REPORTED = 1 << 22, 3
-#: Row ids are broadcast up to this many, else shuffled.
+COUNTED, REPORTED = 1 << 21, 3
+#: Row ids are broadcast up to this many (8 MB), else shuffled.
 BROADCAST_ROWS = 1_000_000
-BLOCK = 64
+BLOCK, LEAF, PIVOTS = 64, 128, 8
+#: A cell is cut only if that leaves at most this share of its comparisons.
+THINNED = 0.5
+#: Rows of whole texts, or of pairs of sets, in one Arrow batch.
+TEXTS, SETS = 1000, 250
+R = 0.25
 
 
 def probe_length(n):
@@ -62,25 +72,30 @@ def profile(texts: DataFrame, width: int) -> DataFrame:
     """One row per document (n, key of its set) and one per frequent shingle of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(COUNTED, np.uint64), 0
         for batch in batches:
             n, key = [], []
             for x in batch_sets(batch.column(1), width):
                 n.append(len(x))
                 key.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                held.append(x)
-                size += len(x)
-                if size >= COUNTED:
-                    yield counts(held)
-                    held, size = [], 0
+                for at in range(0, len(x), COUNTED):
+                    part = x[at : at + COUNTED]
+                    if size + len(part) > COUNTED:
+                        yield counts(held[:size])
+                        size = 0
+                    held[size : size + len(part)] = part
+                    size += len(part)
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), none, none], names=names)
-        if held:
-            yield counts(held)
-
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        token, count = token[count >= REPORTED], count[count >= REPORTED]
+        if size:
+            yield counts(held[:size])
+
+    def counts(held: np.ndarray) -> pa.RecordBatch:
+        held.sort()
+        at = np.flatnonzero(held[REPORTED - 1 :] == held[: len(held) - REPORTED + 1]) if len(held) >= REPORTED else np.zeros(0, np.int64)
+        at = at[np.append(True, held[at[1:]] != held[at[:-1]])] if len(at) else at  # first places of those that repeat so often
+        token = held[at]
+        count = np.searchsorted(held, token, "right") - at
         none = pa.nulls(len(token), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=names)
 
@@ -89,11 +104,11 @@ def profile(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, width: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """``(token, node, first)``: each set's probe prefix; first: also in the index prefix."""
+    """``(token, node, n, first)``: each set's probe prefix and size; first: also in the index prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, count, first = [], [], []
+            token, count, first, size = [], [], [], []
             for x in batch_sets(batch.column(1), width):
                 n = len(x)
                 if n and len(frequent):
@@ -105,11 +120,12 @@ def prefixes(texts: DataFrame, width: int, frequent: np.ndarray, rank: np.ndarra
                 p = probe_length(n) if n else 0
                 token.append(x[:p])
                 count.append(p)
+                size.append(n)
                 first.append(np.arange(p) < (index_length(n) if n else 0))
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(node, pa.int64()), pa.array(np.concatenate(first))], names=["token", "node", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(node, pa.int64()), pa.array(np.repeat(np.array(size, np.int64), count)), pa.array(np.concatenate(first))], names=["token", "node", "n", "first"])
 
-    return texts.mapInArrow(run, "token long, node long, first boolean")
+    return texts.mapInArrow(run, "token long, node long, n long, first boolean")
 
 
 def overlap_needed(a: str, b: str):
@@ -122,54 +138,65 @@ def near_size(a: str, b: str):
     return 4 * F.least(F.col(a), F.col(b)) >= 3 * F.greatest(F.col(a), F.col(b))
 
 
-def verify(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, by whole sets."""
+def shared_shingles(texts: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """``(a, b, total, shared)`` of the pairs ``(a, b)``: sizes of both whole sets, and of what they share.
+
+    Where an id repeats with other texts, a pair has a row for each two texts.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in batch_sets(batch.column(1), width)], pa.binary())], names=["node", "tokens"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            total, shared = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * len(both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                total.append(len(both))
+                shared.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(shared, pa.int64())], names=["a", "b", "total", "shared"])
 
-    spark = texts.sparkSession
     pairs, pairs_at = stash(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found, found_at = stash(pick_ids(texts, ids, "left_semi").mapInArrow(sets, "node long, tokens binary"), "sets")
+    found, found_at = stash(pick_ids(texts, ids, "left_semi").mapInArrow(sets, "node long, tokens binary"), "sets", TEXTS)
     left = found.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = found.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links, _ = stash(rows.mapInArrow(linked, "a long, b long"), "links")
-    drop(spark, pairs_at, found_at)
-    return links
+    out = stash(rows.mapInArrow(measured, "a long, b long, total long, shared long"), "shared", SETS)
+    drop(texts.sparkSession, pairs_at, found_at)
+    return out
+
+
+def linked(total: str = "total", shared: str = "shared") -> Column:
+    return 7 * F.col(shared) >= 3 * F.col(total)
+
+
+def verify(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by whole sets."""
+    return shared_shingles(texts, pairs, width)[0].where(linked()).select("a", "b")
 
 
 def cell_pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Candidate pairs within cells: several components, sizes near, prefixes shared enough."""
-    key = ["pivot", "size_class"]
-    sides = cells.groupBy(*key, "label").agg(F.count("*").alias("k"), F.max("native").alias("native"))
-    total = sides.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k"), F.count("*").alias("sides"), F.max("native").alias("native"))
-    total, _ = stash(total.where("sides > 1 and native").drop("sides", "native"), "mixed")
+    key = ["cell"]
+    sides = cells.groupBy(*key, "label").agg(F.count("*").alias("k"))
+    total = sides.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = cells.join(total, key).join(sizes.select("node", "tokens"), "node").withColumn("is_main", F.col("label") == F.col("main"))
+    rows = cells.select("cell", "node", "n", "label", "home").join(total, key).join(sizes, ["node", "n"]).withColumn("is_main", F.col("label") == F.col("main"))
     rows = rows.withColumn("main_blocks", blocks(F.col("k_main"))).withColumn("other_blocks", blocks(F.col("k") - F.col("k_main")))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
     others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda o: F.when(F.col("is_main"), F.struct(o.alias("i"), (-1 - F.col("own")).alias("j"))).otherwise(F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
     mains = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda m: F.struct(F.col("own").alias("i"), (-1 - m).alias("j")))
     unit = F.explode(F.when(F.col("is_main"), others).otherwise(F.concat(others, mains)))
-    rows = rows.withColumn("unit", unit).select(*key, "unit.i", "unit.j", "node", "n", "native", "label", "tokens")
+    rows = rows.withColumn("unit", unit).select(*key, "unit.i", "unit.j", "node", "n", "home", "label", "tokens")
 
     def compare(table: pa.Table) -> pa.Table:
         node, label = table["node"].to_numpy(), table["label"].to_numpy()
-        n, native = table["n"].to_numpy(), table["native"].to_numpy(zero_copy_only=False)
+        n, native = table["n"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
         lists = table["tokens"].combine_chunks()
         token = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
         owner = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -192,55 +219,137 @@ def cell_pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.groupBy(*key, "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def mixed_cells(cells: DataFrame) -> DataFrame:
+    """Rows of the cells that hold several components and a home member, with the cell's size ``k``."""
+    sides = cells.groupBy("cell", "label").agg(F.count("*").alias("k"), F.max("home").alias("home"), F.max("flat").alias("flat"))
+    mixed = sides.groupBy("cell").agg(F.sum("k").alias("k"), F.count("*").alias("sides"), F.max("home").alias("home"), F.max("flat").alias("flat"))
+    return cells.drop("flat").join(mixed.where("sides > 1 and home").select("cell", "k", "flat"), "cell")
+
+
+def voronoi(texts: DataFrame, rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Cut each cell by up to PIVOTS members: ``(links, smaller cells)``.
+
+    A pivot is the least member of the commonest component among those that share
+    a remainder, so finding them is a partial aggregation whatever a cell's size.
+    """
+    spark = texts.sparkSession
+    sides = rows.groupBy("cell", "label").agg(F.count("*").alias("many"), F.min(F.struct("node", "n")).alias("lead"))
+    seat = F.pmod(F.xxhash64("label"), F.lit(PIVOTS))
+    pivots = sides.groupBy("cell", seat.alias("seat")).agg(F.max_by("lead", F.struct("many", "label")).alias("lead"))
+    pivots, pivots_at = stash(pivots.select("cell", F.col("lead.node").alias("pivot"), F.col("lead.n").alias("n_pivot")), "pivots")
+    met = rows.join(pivots, "cell").where("node <> pivot")
+    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    shared, _ = shared_shingles(texts, pairs, width)
+    far = F.min(1 - F.col("shared") / (F.col("total") - F.col("shared")))
+    known = shared.groupBy("a", "b").agg(far.alias("d"))
+    seen = met.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(known, ["a", "b"])
+    near = seen.groupBy("cell", "node", "n").agg(F.min(F.struct("d", "pivot")).alias("near"))
+    seen = seen.select("cell", "k", "node", "n", "label", "home", "pivot", "d").join(near, ["cell", "node", "n"])
+    seen = seen.join(pivots.select("cell", F.col("pivot").alias("node"), F.lit(True).alias("seated")), ["cell", "node"], "left_anti")
+    seen, seen_at = stash(seen.withColumn("own", F.col("pivot") == F.col("near.pivot")).withColumn("limit", F.col("near.d") + 2 * R), "voronoi")
+    radius = seen.where("own and home").groupBy("cell", "pivot").agg(F.max("d").alias("radius"))
+    slack = 1e-9
+    inside = F.col("own") | (F.col("d") <= F.least("limit", F.col("radius") + R) + slack)
+    parts, parts_at = stash(seen.join(radius, ["cell", "pivot"]).where(inside).drop("radius"), "parts")
+    work = parts.groupBy("cell", "pivot").agg(F.count("*").alias("m"), F.max("k").alias("k"))
+    work = work.groupBy("cell").agg((F.sum(F.col("m") * F.col("m")) > THINNED * F.max(F.col("k") * F.col("k"))).alias("flat"))
+    work, work_at = stash(work, "work")
+    cut = parts.join(work.where("not flat").select("cell"), "cell")
+    cut = cut.select(F.xxhash64("cell", "pivot").alias("cell"), "node", "n", "label", (F.col("home") & F.col("own")).alias("home"), F.lit(False).alias("flat"))
+    whole = seen.where("own").join(work.where("flat").select("cell", "flat"), "cell").select("cell", "node", "n", "label", "home", "flat")
+    cells, _ = stash(cut.union(whole), "cells")
+    drop(spark, pivots_at, seen_at, parts_at, work_at)
+    return shared.where(linked()).select("a", "b"), cells
+
+
+def cell_links(texts: DataFrame, cells: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """All links between different components within ``cells(cell, node, n, label, home, flat)``."""
+    spark = texts.sparkSession
+    links = []
+    while True:
+        rows, rows_at = stash(mixed_cells(cells), "mixed")
+        small = (F.col("k") <= LEAF) | F.col("flat")
+        leaves = rows.where(small)
+        if leaves.limit(1).count():
+            links.append(verify(texts, cell_pairs(leaves, sizes), width))
+        big = rows.where(~small)
+        if not big.limit(1).count():
+            break
+        found, cells = voronoi(texts, big, width)
+        links.append(found)
+        drop(spark, rows_at)
+    out = links[0] if links else None
+    for more in links[1:]:
+        out = out.union(more)
+    return out if out is not None else spark.createDataFrame([], "a long, b long")
+
+
+def repeated_ids(members: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the classes of rows that share an id."""
+    rows = members.join(repeated, "doc_id")
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return rows.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+
+
 def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``df``.
 
     Threshold: 100 * intersection >= 75 * union. ``component_id`` is the least
     id reachable over links, itself included. Null and empty texts, and texts
     without words, have no shingle and link with nothing; fewer words than
-    ``width`` form one shingle. Rows that share an id count as one linked
-    document; a null id keeps a null component and links with nothing. Columns
-    other than id and text are not read.
+    ``width`` form one shingle. Very long texts are read in pieces of a megabyte
+    and compared whole. Rows that share an id count as one linked document,
+    whatever their texts; a null id keeps a null component and links with nothing.
+    An empty table gives an empty one. Columns other than id and text are not read.
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen, seen_at = stash(profile(texts, width), "profile")
+    seen, seen_at = stash(profile(texts, width), "profile", TEXTS)
     docs = seen.where("n is not null").select("doc_id", "n", "key")
     top = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     frequent, count = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    del top
     order = np.argsort(frequent)
     frequent, rank = frequent[order], count[order]
 
     sets = docs.where("key is not null and doc_id is not null")
+    repeated = sets.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    repeated, _ = stash(repeated, "repeated")
     shared, shared_at = stash(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("key", "rep"), "classes")
-    members, _ = stash(docs.join(shared, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")), "members")
+    members = docs.where("key is not null").join(shared, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
+    members, _ = stash(members.union(docs.where("key is null").select("doc_id", "n", F.col("doc_id").alias("node"))), "members")
     drop(spark, seen_at, shared_at)
 
     live = texts.where("doc_id is not null")
-    live = pick_ids(live, members.where("node <> doc_id").select("doc_id").distinct(), "left_anti")
-    rows, rows_at = stash(prefixes(live, width, frequent, rank), "prefixes")
+    stands = members.where("node <> doc_id").select("doc_id").distinct().join(members.where("node = doc_id").select("doc_id"), "doc_id", "left_anti")
+    live = pick_ids(live, stash(stands, "copies")[0], "left_anti")
+    rows, rows_at = stash(prefixes(live, width, frequent, rank), "prefixes", TEXTS)
     regions = rows.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.max("first").alias("open"))
     regions, regions_at = stash(regions.where("pivot <> last").select("token", "pivot", "open"), "regions")
-    placed, placed_at = stash(rows.join(regions, "token").select("token", "node", "pivot", "open"), "placed")
+    placed, placed_at = stash(rows.join(regions, "token").select("token", "node", "n", "pivot", "open"), "placed")
     drop(spark, rows_at, regions_at)
 
-    size = members.where("node = doc_id").groupBy("node").agg(F.max("n").alias("n"))
-    sizes, sizes_at = stash(placed.groupBy("node").agg(F.collect_set("token").alias("tokens")).join(size, "node"), "sizes")
+    sizes, sizes_at = stash(placed.groupBy("node", "n").agg(F.collect_set("token").alias("tokens")), "sizes")
     stars, stars_at = stash(placed.where("open and node <> pivot").select("pivot", "node").distinct(), "stars")
     drop(spark, placed_at)
 
     of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     met = stars.withColumnRenamed("node", "member").join(of("pivot"), "pivot").join(of("member"), "member").where(near_size("n_pivot", "n_member"))
     met = met.where(F.size(F.array_intersect("t_pivot", "t_member")) >= overlap_needed("n_pivot", "n_member"))
-    links = verify(live, met.select(F.col("pivot").alias("a"), F.col("member").alias("b")), width)
-    labels = components(links)
+    links = verify(live, met.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), width)
+    labels = components(links.union(repeated_ids(members, repeated)))
 
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
+    windows = F.explode(F.array(F.struct(klass.alias("size_class"), F.lit(True).alias("home")), F.struct((klass - 1).alias("size_class"), F.lit(False).alias("home"))))
     cells = stars.join(sizes.select("node", "n"), "node").join(labels, "node", "left")
-    cells = cells.select("pivot", "node", "n", F.coalesce("label", "node").alias("label"), F.explode(F.array(F.struct(klass.alias("size_class"), F.lit(True).alias("native")), F.struct((klass - 1).alias("size_class"), F.lit(False).alias("native")))).alias("w"))
-    cells, cells_at = stash(cells.select("pivot", "w.size_class", "w.native", "node", "n", "label"), "cells")
+    cells = cells.select("pivot", "node", "n", F.coalesce("label", "node").alias("label"), windows.alias("w"))
+    # an id with several texts is no point of the metric space: its cells are not cut
+    several = repeated.select(F.col("doc_id").alias("node"), F.lit(True).alias("flat"))
+    cells = cells.select(F.xxhash64("pivot", "w.size_class").alias("cell"), "node", "n", "label", "w.home").join(several, "node", "left")
+    cells = cells.select("cell", "node", "n", "label", "home", F.coalesce("flat", F.lit(False)).alias("flat"))
+    cells, cells_at = stash(cells, "cells")
     drop(spark, stars_at)
-    more = verify(live, cell_pairs(cells, sizes), width)
+    more = cell_links(live, cells, sizes, width)
     drop(spark, cells_at, sizes_at)
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     bridges = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
@@ -254,10 +363,35 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
 def drop_near_copies(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` but one of each component: that of the least id.
 
-    Of rows that share an id, one stays. Rows with a null id stay.
+    Of rows that share an id, one stays (the least by its text). Rows with a null
+    id stay; so does a column ``doc_id`` beside another ``id_col``. Null and empty
+    texts link with nothing and stay. An empty table gives an empty one.
     """
-    found, _ = stash(jaccard_components(df, width, id_col, text_col), "components")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("doc_id")).distinct()
-    rows = pick_ids(df.withColumn("doc_id", F.col(id_col)), gone, "left_anti").select(*df.columns)
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull())) if twice else rows
+    found, _ = stash(jaccard_components(df, width, id_col, text_col).withColumnRenamed(id_col, "doc_id"), "components")
+    gone, _ = stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    rows = drop_ids(df, gone, id_col)
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice, _ = stash(twice, "twice")
+    if not twice.limit(1).count():
+        return rows
+    mine = fresh(df)
+    row = F.struct(F.col(text_col).alias("t"), *[F.to_json(F.struct(c)).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    some = rows.withColumn(mine, F.col(id_col).cast("long")).join(twice.withColumnRenamed("doc_id", mine), mine, "left_semi")
+    some = some.groupBy(mine).agg(F.min_by(F.struct(*df.columns), row).alias("row")).select("row.*")
+    return drop_ids(rows, twice, id_col).unionByName(some)
+
+
+def fresh(df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name = "own_id"
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
+def drop_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id is not in ``gone(doc_id)``; rows with a null id stay."""
+    mine = fresh(df)
+    ids = gone.select(F.col("doc_id").alias(mine))
+    rows = df.withColumn(mine, F.col(id_col).cast("long"))
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, mine, "left_anti").select(*df.columns)

@@ -1,28 +1,32 @@
 """Word shingles of texts as sets of 64-bit keys, computed column-wise.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. A
-word's key is a polynomial over its bytes modulo 2**64 (odd base, so a prefix
-sum gives every word of a buffer at once), mixed; a shingle's key folds the keys
-of its words. Equal shingles have equal keys; different ones collide with a
-chance near 2**-64 a pair, and only within one comparison does that matter.
+word's key mixes its length and its bytes, eight at a time; each step mixes all
+bits before the next eight bytes enter, so no algebraic relation between words
+carries over to keys. Words over LONGEST bytes are keyed by BLAKE2b. A shingle's
+key folds the keys of its words. Equal shingles have equal keys; two different
+ones share a key with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 20
+LONGEST = 256
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+#: Keeps the first k bytes of a little-endian word.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,42 +35,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        x = np.full(CHUNK + 1, base, U)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=U))
-    return out[0], out[1]
-
-
 def word_keys(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words in ``data`` (at most CHUNK bytes), and where each document's words begin.
+    """Keys of all words in ``data``, and where each document's words begin.
 
     ``doc_at``: the documents' byte offsets with the end; words do not span them.
     """
-    up, down = powers()
     inside = ~SPACE[data]
     before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
     edges = doc_at[(doc_at > 0) & (doc_at < len(data))]
     before[edges] = False
     after[edges - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    keys = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(BASE)
+    low = np.append(LOWER[data], np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    size = ends - starts
+    keys = size.astype(U) * STEP
+    live, k = np.arange(len(starts)), 0
+    while len(live):
+        keys[live] = mix(keys[live] + STEP) ^ (eights[starts[live] + k] & KEEP[np.minimum(size[live] - k, 8)])
+        k += 8
+        live = live[(size[live] > k) & (size[live] <= LONGEST)]
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        keys[i] = long_word(data[starts[i] : ends[i]])
     return mix(keys), np.searchsorted(starts, doc_at)
 
 
-def long_word(data: np.ndarray) -> np.ndarray:
-    """The key of one word longer than CHUNK bytes."""
-    total, up = 0, powers()[0]
-    step = pow(BASE, CHUNK, 1 << 64)
-    for k, at in enumerate(range(0, len(data), CHUNK)):
-        part = LOWER[data[at : at + CHUNK]].astype(U) + U(1)
-        total += int((part * up[: len(part)]).sum(dtype=U)) * pow(step, k, 1 << 64)
-    return mix(np.array([(total + len(data) * BASE) % (1 << 64)], U))
+def long_word(data: np.ndarray) -> np.uint64:
+    """The unmixed key of one word longer than LONGEST bytes."""
+    return U(int.from_bytes(hashlib.blake2b(LOWER[data].tobytes(), digest_size=8).digest(), "little"))
 
 
 def long_text(data: np.ndarray) -> np.ndarray:
@@ -81,7 +77,7 @@ def long_text(data: np.ndarray) -> np.ndarray:
             else:  # one word fills the chunk
                 rest = np.flatnonzero(SPACE[data[end:]])
                 end = end + int(rest[0]) if len(rest) else len(data)
-                out.append(long_word(data[at:end]))
+                out.append(word_keys(data[at:end], np.array([0, end - at]))[0])
                 at = end
                 continue
         out.append(word_keys(data[at:end], np.array([0, end - at]))[0])
