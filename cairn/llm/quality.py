@@ -31,10 +31,12 @@ LADDERS = {
     "copied_lines": (100, 70, 50, 30, 20, 10),
 }
 ALPHA, DELTA = 0.005, 0.05
+#: Cutoffs of up to so many strata are broadcast, else joined by a shuffle.
+FEW_STRATA = 10_000
 
 
 def measures(df: DataFrame) -> DataFrame:
-    """Base counts of ``(doc_id, text, stratum)``; null text has no words.
+    """Base counts of ``(doc_id, text, stratum)`` and a struct ``row``, if there; null text has no words.
 
     ``n_repeat_words``: three-word windows are sorted with their positions, so
     equal ones stand side by side; the union of their spans is summed in order.
@@ -45,7 +47,7 @@ def measures(df: DataFrame) -> DataFrame:
     rows = df.withColumn("text", text).withColumn("words", F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), ""))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.char_length(F.translate(x, BLANK, "")) > 0))
     rows = rows.select(
-        "doc_id", "stratum", "words",
+        "doc_id", "stratum", "words", *[c for c in df.columns if c not in ("doc_id", "stratum", "text")],
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.translate("text", BLANK, "")).cast("long").alias("word_chars"),
         gone(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -116,35 +118,41 @@ def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     return sides.select("stratum", "rule", best.alias("cutoff")).where("cutoff is not null")
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Base counts, ``base_failed`` and ``kept`` of every row of ``df``.
+def judged(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, alpha: float, delta: float, whole: bool) -> DataFrame:
+    """Measures, ``base_failed`` and ``kept`` of each row; ``whole``: with the row itself, as a struct.
 
-    A null stratum is a stratum of its own. Null and empty texts fail the base.
-    Rows repeat as they do in ``df``; other columns are not read. The text is
-    scanned once: the counts are written to the shared folder, both the cutoffs
-    and the verdicts read them there.
+    The text is scanned once: the counts are written to the shared folder, both
+    the cutoffs and the verdicts read them there.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
+    row = [F.struct(*df.columns).alias("row")] if whole else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *row)
     scored, _ = stash(measures(rows), "quality")
-    chosen = cutoffs(scored, labels, alpha, delta).groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in LADDERS])
-    out = scored.join(chosen, "stratum", "left")
+    chosen = cutoffs(scored.drop("row"), labels, alpha, delta).groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in LADDERS])
+    out = scored.join(F.broadcast(chosen) if chosen.count() <= FEW_STRATA else chosen, "stratum", "left")
     above = [F.coalesce(1000 * a > F.col(r) * b, F.lit(False)) for r, (a, b) in rule_measures().items()]
     hit = above[0]
     for x in above[1:]:
         hit = hit | x
-    kept = ~F.col("base_failed") & ~hit
-    return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~hit)
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """Rows of ``df`` that the rules keep, with their columns. A null id is dropped.
+def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Base counts, ``base_failed`` and ``kept`` of every row of ``df``.
 
-    The verdict depends on the text and the stratum alone, so it is taken per
-    row id; of rows that share an id, all stay unless all are rejected.
+    A null stratum is a stratum of its own. Null and empty texts fail the base.
+    Rows repeat as they do in ``df``, and a row with a null id is judged like any
+    other; other columns are not read. Equal texts of a stratum get equal verdicts.
+    A very long text costs memory in proportion to its words in one task. Empty
+    tables of documents or labels give an empty result or the base rules alone.
     """
-    from .jaccard import pick_ids
+    out = judged(df, labels, id_col, text_col, stratum_col, alpha, delta, whole=False)
+    return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
 
-    verdict, _ = stash(quality_rules(df, labels, id_col, **kwargs).select(F.col(id_col).alias("doc_id"), "kept"), "verdict")
-    good = verdict.where("kept").select("doc_id")
-    gone = verdict.where("not kept").select("doc_id").distinct().join(good, "doc_id", "left_anti")
-    return pick_ids(df.where(F.col(id_col).isNotNull()).withColumn("doc_id", F.col(id_col)), gone, "left_anti").select(*df.columns)
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Rows of ``df`` that the rules keep, with their columns, whatever these are called.
+
+    Each row is judged by its own text and stratum, so repeated and null ids do
+    not matter: the row travels with its measures and nothing is joined by id.
+    """
+    return judged(df, labels, id_col, text_col, stratum_col, alpha, delta, whole=True).where("kept").select("row.*")

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear model over word and word-prefix features is trained in numpy from
-confirmed toxic texts (P) and texts taken without their labels (U). With class
+confirmed toxic texts (P) and unlabelled texts of the corpus (U). With class
 prior q, sigmoid loss l and scores z the risk is
 
     q E_P[l(z)] + max(0, E_U[l(-z)] - q E_P[l(-z)])
@@ -29,8 +29,10 @@ MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 5_000, 10_000, 4_096
 #: many with a chance under exp(-EVIDENCE), whatever the number of texts.
 LEAST_DOCS, EVIDENCE = 2, 3.0
 
-#: A task hands on its counts when it holds more features than this.
-MOST_COUNTED = 300_000
+#: A task hands on its counts when it holds more features than this, and forgets words beyond that.
+MOST_COUNTED, MOST_CACHED = 200_000, 100_000
+#: What a text is taken for: confirmed toxic, unlabelled, or one of the label rows among which the cut is placed.
+CONFIRMED, PLAIN, HELD = 0, 1, 2
 #: Scores (before the sigmoid) this close are one score.
 TIE = 1e-9
 
@@ -57,7 +59,7 @@ class Model:
         for w in set(LETTERS.findall((text or "").lower())):
             got = cache.get(w)
             if got is None:
-                if len(cache) > 300_000:
+                if len(cache) > MOST_CACHED:
                     cache.clear()
                 got = cache[w] = self.word(w)
             if got:
@@ -66,7 +68,7 @@ class Model:
         return 1 / (1 + exp(-max(-500.0, min(500.0, z))))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray]:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[float, np.ndarray]:
     """Bias and weights; ``rows`` hold feature numbers, ``positive`` marks P (else U)."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -113,14 +115,19 @@ def place_threshold(z: np.ndarray, positive: np.ndarray, prior: float, threshold
 
 
 def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> Model:
-    """Fit on the label rows for which ``learn`` holds.
-
-    Only labels of documents in ``df`` count. The prior is the toxic share of all
-    of these. P and U are bounded samples of them, chosen by a hash of the id; U
-    ignores the label. Features are those in
-    at least LEAST_DOCS texts of P and commoner there than in U, beyond chance (the
-    Poisson tail bound of EVIDENCE at the rate of U). Without toxic
-    rows or without features the model is a low constant.
+    """Fit on the toxic label rows, and on documents of any kind, for which ``learn`` holds.
+
+    P: toxic label rows whose document is in ``df``. U: documents of ``df``, with a
+    label or without, and again the label rows, whose labels are not read: these
+    hold P's texts in the very share of the prior, which steadies rare features.
+    All are bounded samples chosen by a hash of the id, so ties, row order and partitions do
+    not matter; a repeated row may enter twice. The prior is the toxic share of the
+    label rows at hand, so the cut is placed among these (their labels unread): there
+    the prior is exact, while the corpus may hold another share. Features are those in at least LEAST_DOCS texts of P and
+    commoner there than in U, beyond chance (the Poisson tail bound of EVIDENCE at
+    the rate of U). Without toxic rows (empty tables, null labels) or without
+    features the model is a low constant. Whole texts are read, very long ones too:
+    a text costs memory for its distinct words.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn).select("doc_id", "toxic")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -129,11 +136,13 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if not total["n"] or not total["toxic"]:
         return Model(-4.0, {})
     prior = min(0.95, total["toxic"] / total["n"])
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.where("toxic = 1").orderBy(*order).limit(MOST_POSITIVE).select("doc_id", F.lit(True).alias("p"))
-    some = some.union(known.orderBy(F.xxhash64(F.hash("doc_id")), "doc_id").limit(MOST_UNLABELLED).select("doc_id", F.lit(False).alias("p")))
-    some = df.sparkSession.createDataFrame(some.collect(), some.schema)  # bounded by the two limits
-    chosen = texts.join(F.broadcast(some), "doc_id").select("p", "text")
+    sample = lambda rows, k: rows.orderBy(F.xxhash64(F.hash("doc_id")), "doc_id").limit(k)
+    some = sample(known.where("toxic = 1").select("doc_id"), MOST_POSITIVE).select("doc_id", F.lit(CONFIRMED).alias("role"))
+    held = sample(known.select("doc_id"), MOST_UNLABELLED).select("doc_id", F.lit(HELD).alias("role"))
+    plain = sample(texts.where("doc_id is not null").where(learn).select("doc_id"), MOST_UNLABELLED).select("doc_id", F.lit(PLAIN).alias("role"))
+    some = df.sparkSession.createDataFrame(some.union(plain).union(held).distinct().collect(), some.schema)  # bounded by the limits
+    chosen = texts.join(F.broadcast(some), "doc_id").select("role", "text")
+    n_p, n_u = (max(1, x) for x in chosen.agg(F.count_if(F.col("role") == CONFIRMED), F.count_if(F.col("role") != CONFIRMED)).first())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -144,15 +153,14 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen[p].update(text_features(text.as_py()))
+            for role, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen[role == CONFIRMED].update(text_features(text.as_py()))
             if len(seen[True]) + len(seen[False]) > MOST_COUNTED:
                 yield batch_of(seen)
                 seen = {True: Counter(), False: Counter()}
         yield batch_of(seen)
 
     kinds = chosen.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    n_p, n_u = min(MOST_POSITIVE, total["toxic"]), min(MOST_UNLABELLED, total["n"])
     gain = F.col("p") * F.log((F.col("p") + 1) / n_p / ((F.col("u") + 1) / n_u))
     due = F.greatest("u", F.lit(1)) * n_p / n_u
     sure = F.col("p") * F.log(F.col("p") / due) - F.col("p") + due >= EVIDENCE
@@ -165,15 +173,15 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted(number[f] for f in text_features(t.as_py()) & number.keys()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["p", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["role", "at"])
 
-    got = chosen.mapInArrow(encode, "p boolean, at array<int>").collect()
-    got.sort(key=lambda r: (r["p"], r["at"]))
+    got = chosen.mapInArrow(encode, "role int, at array<int>").collect()
+    got.sort(key=lambda r: (r["role"], r["at"]))
     rows = [np.array(r["at"], np.int64) for r in got]
-    positive = np.array([r["p"] for r in got], bool)
-    bias, weights = fit_nnpu(rows, positive, len(names), prior)
+    role = np.array([r["role"] for r in got], int)
+    bias, weights = fit_nnpu(rows, role == CONFIRMED, len(names), prior)
     z = np.array([bias + weights[at].sum() for at in rows])
-    bias += place_threshold(z, positive, prior, threshold)
+    bias += place_threshold(z[role != PLAIN], role[role != PLAIN] == CONFIRMED, prior, threshold)
     return Model(bias, dict(zip(names, weights.tolist())))
 
 
@@ -200,7 +208,11 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that score below ``threshold``, with their columns."""
+    """Rows of ``df`` that score below ``threshold``, with their columns, null ids and repeats included.
+
+    Null and empty texts score as texts without features and stay. The model is
+    trained on ``df`` itself; an empty table gives an empty one.
+    """
     model = train(df, labels, fold() != 1, id_col, text_col)
     kinds = df.schema
 
