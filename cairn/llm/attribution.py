@@ -70,8 +70,10 @@ def attribute_tokens(df: DataFrame, rank_path: str, pattern: str, rule: str = "s
     Sections are those of ``spans_col`` (array of struct<name, begin, end> in
     characters, which may overlap or leave gaps), else the lines. A document
     without a section (null or empty text, null array) gets one row with a null
-    section and no tokens allocated. Spans are clipped to the text; rows repeat
-    as in ``df``. A map over the scan: no shuffle.
+    section and no tokens allocated. Spans are clipped to the text; a null bound is
+    the text's begin or end, a null span none, a null name stays null. Rows repeat as
+    in ``df``, an empty table gives an empty one, and other columns are not read. A map
+    over the scan: no shuffle; memory is that of one text's tokens and spans.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -82,7 +84,7 @@ def attribute_tokens(df: DataFrame, rank_path: str, pattern: str, rule: str = "s
             rows: list[tuple] = []
             for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 text = text.as_py() or ""
-                spans = line_spans(text) if spans_col is None else [(s["name"], s["begin"], s["end"]) for s in batch.column(2)[k].as_py() or [] if s]
+                spans = line_spans(text) if spans_col is None else [(s["name"], 0 if s["begin"] is None else s["begin"], len(text) if s["end"] is None else s["end"]) for s in batch.column(2)[k].as_py() or [] if s]
                 widths = cache.widths[np.frombuffer(cache.text(text), "<u4")]
                 if not spans:
                     rows.append((doc, None, None, None, 0.0, 0, len(widths)))
