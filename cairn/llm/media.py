@@ -97,7 +97,7 @@ class Stream:
     kind: int
     units: list[bytes] = field(default_factory=list)
     times: list[int | None] = field(default_factory=list)
-    keys: list[int] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)  # units at which decoding can begin
 
 
 @dataclass
@@ -110,6 +110,7 @@ class Parsed:
     duplicates: int = 0
     table_errors: int = 0
     unit_errors: int = 0
+    damaged: int = 0
 
 
 def aligned(data: bytes) -> tuple[np.ndarray, int]:
@@ -132,13 +133,41 @@ def aligned(data: bytes) -> tuple[np.ndarray, int]:
 
 
 def read_section(data: bytes, table_id: int) -> bytes | None:
-    data = data[1 + data[0] :] if data else b""
-    if len(data) < 12 or data[0] != table_id:
+    """The body of one whole section of that table; None where it is another or its checksum is wrong."""
+    if len(data) < 12 or data[0] != table_id or crc_mpeg(data[:-4]) != int.from_bytes(data[-4:], "big"):
         return None
-    end = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
-    if end > len(data) or end < 12 or crc_mpeg(data[: end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
-        return None
-    return data[3 : end - 4]
+    return data[3:-4]
+
+
+def sections_of(parts: list[tuple[bool, bytes]]) -> Iterator[bytes | None]:
+    """Sections of one PID's payloads ``(starts a section, bytes)``: several in a packet,
+    or one over several packets. None for each that breaks off."""
+    held = b""
+    for start, data in parts:
+        if start:
+            begin = 1 + data[0] if data else 0
+            if held:
+                held += data[1:begin]
+                held = yield from whole(held)
+                if held:
+                    yield None
+            held = data[begin:]
+        elif held:
+            held += data
+        held = yield from whole(held)
+    if held:
+        yield None
+
+
+def whole(held: bytes) -> Iterator[bytes]:
+    """The complete sections at the start of ``held``; returns the rest, without stuffing."""
+    while len(held) >= 3 and held[0] != 0xFF:
+        end = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+        if len(held) < end:
+            return held
+        yield held[:end]
+        held = held[end:]
+    return b"" if held[:1] == b"\xff" else held
 
 
 def read_clock(b: bytes) -> int:
@@ -148,21 +177,27 @@ def read_clock(b: bytes) -> int:
 def demux(data: bytes | None) -> Parsed:
     """Parse a stream: tables, continuity, packetised units, clock, random-access points.
 
-    Damage is counted, never raised: lost sync, counter gaps (a repeated packet
-    is dropped as a duplicate), bad table checksums, bad units. Null and empty
-    data give an empty result. Sections are taken from single packets.
+    Damage is counted, never raised: lost sync, packets flagged by the transport
+    (these are not used), counter gaps (a repeated packet is dropped as a duplicate;
+    a flagged discontinuity is no gap), bad table checksums, bad units. Sections may
+    span packets. Null and empty data give an empty result.
     """
     out = Parsed()
     packets, out.skipped_bytes = aligned(data or b"")
     out.packets = len(packets)
+    sound = packets[:, 1] & 0x80 == 0
+    if not sound.all():
+        out.damaged = int((~sound).sum())
+        packets = packets[sound]
     pids = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
     start, control = packets[:, 1] & 0x40 > 0, packets[:, 3] >> 4 & 3
     begin = np.where(control & 2 > 0, 5 + packets[:, 4].astype(np.int64), 4)
     begin = np.where(control & 1 > 0, np.minimum(begin, PACKET), PACKET)
 
     def tables(pid: int, table_id: int) -> Iterator[bytes]:
-        for k in np.flatnonzero((pids == pid) & start):
-            got = read_section(packets[k, begin[k] :].tobytes(), table_id)
+        own = np.flatnonzero((pids == pid) & (begin < PACKET))
+        for data in sections_of([(bool(start[k]), packets[k, begin[k] :].tobytes()) for k in own.tolist()]):
+            got = None if data is None else read_section(data, table_id)
             if got is None:
                 out.table_errors += 1
             else:
@@ -185,7 +220,8 @@ def demux(data: bytes | None) -> Parsed:
         step = (np.diff(counters.astype(np.int64))) % 16
         same = np.append(False, (step == 0) & (packets[own[1:], 4:] == packets[own[:-1], 4:]).all(axis=1)) if len(own) else np.zeros(0, bool)
         out.duplicates += int(same.sum())
-        out.gaps += int(((step != 1) & ~same[1:]).sum()) if len(own) else 0
+        told = (control[own] & 2 > 0) & (packets[own, 4] > 0) & (packets[own, 5] & 0x80 > 0)
+        out.gaps += int(((step != 1) & ~same[1:] & ~told[1:]).sum()) if len(own) else 0
         own = own[~same]
         heads = np.flatnonzero(start[own])
         inside = np.arange(PACKET)[None, :] >= begin[own][:, None]
@@ -203,12 +239,14 @@ def demux(data: bytes | None) -> Parsed:
     return out
 
 
-def unwrapped(times: list[int | None]) -> list[int]:
-    """Time stamps in order of arrival, continued across the 33-bit wrap."""
-    out: list[int] = []
-    for t in (t for t in times if t is not None):
-        last = out[-1] if out else t
-        out.append(last + (t - last + CLOCK // 2) % CLOCK - CLOCK // 2)
+def unwrapped(times: list[int | None]) -> list[int | None]:
+    """Time stamps in order of arrival, continued across the 33-bit wrap; missing ones stay missing."""
+    out: list[int | None] = []
+    last = None
+    for t in times:
+        if t is not None:
+            last = t if last is None else last + (t - last + CLOCK // 2) % CLOCK - CLOCK // 2
+        out.append(None if t is None else last)
     return out
 
 
@@ -220,7 +258,9 @@ def text_payload(text: str | None, multiple: int = 64) -> bytes:
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_bytes, media)``: each text as a transport stream; null is empty.
 
-    The payload is padded with zero bytes to a positive multiple of 64.
+    The payload is padded with zero bytes to a positive multiple of 64. Equal texts
+    give equal streams; repeated rows, null ids and very long texts are rows like any
+    other, an empty table gives an empty one, other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +275,18 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumnRenamed("id", id_col)
 
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, streams int, units long, random_access array<long>, first_pts long, last_pts long, gaps long, duplicates long, errors long, feature string"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, streams int, units long, random_access array<struct<unit:bigint,pts:bigint>>, first_pts long, last_pts long, gaps long, duplicates long, errors long, feature string"
+
+READ_NAMES = [x.split()[0] for x in READ.replace("unit:bigint,pts", "").split(", ")]
 
 
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Parse stored streams: digests of the first stream's bytes, timing, damage.
 
-    ``random_access``: numbers of the units at which decoding can begin. Extra
-    column kept: ``n_bytes`` where present. Null media read as empty.
+    ``random_access``: the units at which decoding can begin, each with its time
+    stamp (continued across the 33-bit wrap; null where it carries none). Extra column
+    kept: ``n_bytes`` where present. Null media read as empty; rows repeat as they do
+    in ``df``. A very long stream is read whole: memory is a few times its bytes.
     """
     extra = [c for c in ("n_bytes",) if c in df.columns]
 
@@ -255,18 +299,19 @@ def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     def digest(media: bytes | None) -> tuple:
         got = demux(media)
         stream = next(iter(got.streams.values()), Stream(0, 0))
-        payload, times = b"".join(stream.units), unwrapped(stream.times)
-        errors = got.table_errors + got.unit_errors + (got.skipped_bytes > 0)
+        payload, stamps = b"".join(stream.units), unwrapped(stream.times)
+        times = [t for t in stamps if t is not None]
+        errors = got.table_errors + got.unit_errors + got.damaged + (got.skipped_bytes > 0)
         counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
         share = counts[counts > 0] / max(1, len(payload))
         entropy = float(-(share * np.log2(share)).sum())
         span = times[-1] - times[0] if times else 0
         feature = f"programs={len(got.programs)};streams={len(got.streams)};packets={got.packets};units={len(stream.units)};keys={len(stream.keys)};span={span};gaps={got.gaps};errors={errors};entropy={entropy:.4f}"
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), got.packets, len(got.streams), len(stream.units), stream.keys, times[0] if times else None, times[-1] if times else None, got.gaps, got.duplicates, errors, feature)
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), got.packets, len(got.streams), len(stream.units), [{"unit": k, "pts": stamps[k]} for k in stream.keys], times[0] if times else None, times[-1] if times else None, got.gaps, got.duplicates, errors, feature)
 
     i, s = pa.int64(), pa.string()
-    kinds = [i, s, i, i, s, i, pa.int32(), i, pa.list_(i), i, i, i, i, i, s]
-    names = ["id", *extra, *(x.split()[0] for x in READ.split(", "))]
+    kinds = [i, s, i, i, s, i, pa.int32(), i, pa.list_(pa.struct([("unit", i), ("pts", i)])), i, i, i, i, i, s]
+    names = ["id", *extra, *(x.split()[0] for x in READ_NAMES)]
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *extra).mapInArrow(run, f"id {kind}, " + "".join(f"{c} long, " for c in extra) + READ)
     return out.withColumnRenamed("id", id_col)

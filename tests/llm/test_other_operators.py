@@ -35,7 +35,7 @@ def test_media_round_trip(spark):
         assert len(p) % 64 == 0 and p and r.n_bytes == len((TEXTS[r.doc_id] or "").encode())
         assert (r.payload_sha256, r.tail_crc32, r.payload_bytes) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p))
         assert r.media_bytes % 188 == 0 and (r.gaps, r.errors, r.duplicates, r.streams) == (0, 0, 0, 1)
-        assert r.units == -(-len(p) // media.UNIT) and r.random_access == list(range(0, r.units, media.KEY_EVERY))
+        assert r.units == -(-len(p) // media.UNIT) and [tuple(x) for x in r.random_access] == [(k, k * media.TICKS) for k in range(0, r.units, media.KEY_EVERY)]
     assert media.read_media(media.encode_media(df.limit(0))).count() == 0
 
 
@@ -52,7 +52,34 @@ def test_media_damage():
     bad[14] ^= 1
     assert media.demux(bytes(bad)).table_errors == 1
     assert media.demux(None).packets == 0 and media.demux(b"\x47").packets == 0
-    assert media.unwrapped([media.CLOCK - 1, None, 5]) == [media.CLOCK - 1, media.CLOCK + 5]
+    assert media.unwrapped([media.CLOCK - 1, None, 5]) == [media.CLOCK - 1, None, media.CLOCK + 5]
+
+
+def packet(pid, counter, payload, start=False, field=None, damaged=False):
+    head = bytes([0x47, (0x80 if damaged else 0) | (0x40 if start else 0) | pid >> 8, pid & 0xFF])
+    room = 184 - len(payload)
+    if field is None and room == 0:
+        return head + bytes([0x10 | counter]) + payload
+    field = field or 0
+    return head + bytes([0x30 | counter, room - 1]) + (bytes([field]) + b"\xff" * (room - 2) if room > 1 else b"") + payload
+
+
+def test_media_of_other_muxers():
+    """Tables over several packets, two sections in one, flagged packets and discontinuities."""
+    streams = b"".join(bytes([6]) + (0xE000 | 0x100 + k).to_bytes(2, "big") + b"\xf0\0" for k in range(60))
+    pmt = media.section(2, 1, b"\xe1\0\xf0\0" + streams)
+    pat = media.section(0, 1, b"\0\1\xf0\0" + b"\0\2\xf0\1")
+    other = media.section(2, 2, b"\xe1\0\xf0\0" + b"\x1b\xe3\0\xf0\0")
+    out = [packet(0, 0, b"\0" + pat + b"\xff" * (183 - len(pat)), True), packet(0x1000, 0, b"\0" + pmt[:183], True), packet(0x1000, 1, pmt[183:], False)]
+    out.append(packet(0x1001, 0, b"\0" + other + other + b"\xff" * 20, True))
+    pes = b"\0\0\1\xe0" + (8 + 6).to_bytes(2, "big") + b"\x84\x80\5" + media.clock_bytes(77, 2) + b"unit-1"
+    out += [packet(0x100, 3, pes, True, 0x40), packet(0x100, 9, pes, True, 0x80), packet(0x100, 10, b"x" * 184, damaged=True), packet(0x100, 10, pes, True, 0x40), packet(0x100, 13, pes, True)]
+    got = media.demux(b"".join(out))
+    assert got.programs == {1: 0x1000, 2: 0x1001} and len(got.streams) == 61 and got.table_errors == 0
+    stream = got.streams[0x100]
+    assert stream.units == [b"unit-1"] * 4 and stream.keys == [0, 2] and stream.times == [77] * 4
+    assert (got.damaged, got.gaps) == (1, 1)
+    assert media.demux(b"".join(out[:2])).table_errors == 1  # the table breaks off
 
 
 def toxic_corpus(n=400):
@@ -273,6 +300,109 @@ def test_tool_calls(spark):
     assert chat.link_calls(df.limit(0), back.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_against_brute_force(spark):
+    pick = random.Random(12)
+    schemas = {"add": {"a": ("BIGINT", True), "note": ("STRING", False, 3)}, "none": {}}
+    arguments = ['{"a": 1}', '{"note":"xy", "a":{"d":1,"c":[2,{"z":1,"y":null}]}}', '{"a":2,"note":"long"}', "{", None, "{}", '{"a":"1"}']
+    ids = [f"c{k}" for k in range(40)]
+    calls = [(pick.choice(ids), pick.choice(["add", "none", "rm", None]), pick.choice(arguments), pick.choice([None, "gone", *ids[:15]]), pick.choice(["t1", "t2", None]), "clash") for _ in range(60)]
+    results = [(pick.choice([*ids, "o1", None]), pick.choice(["r", "s", None])) for _ in range(40)]
+    df = spark.createDataFrame(calls, "call_id string, name string, arguments string, after string, thread string, depth string").repartition(5)
+    got = chat.link_calls(df, spark.createDataFrame(results, "call_id string, content string"), schemas).collect()
+    last = lambda row: [x for v in row for x in (v is None, v or "")]
+    one = {}
+    for c in calls:
+        if c[0] not in one or last(c[1:5]) < last(one[c[0]][1:5]):
+            one[c[0]] = c
+    assert {r.call_id for r in got} == set(one) | {r[0] for r in results if r[0]}
+    seats = {r.call_id: r.position for r in got}
+    assert sorted(seats.values()) == list(range(len(got)))
+
+    def depth(c, seen=()):
+        after = one[c][3]
+        if after not in one:
+            return 0
+        up = None if c in seen else depth(after, (*seen, c))
+        return None if up is None else up + 1
+
+    def errors(name, text):
+        if name not in schemas:
+            return ["unknown tool"]
+        try:
+            value = json.loads(text) if text else None
+        except ValueError:
+            value = None
+        if value is None:
+            return ["bad JSON"]
+        if name == "none":
+            return []
+        a, out = value.get("a"), []
+        out += ["missing a"] if a is None else [] if isinstance(a, int) else [None]
+        return out + (["note is over 3 characters"] if len(value.get("note", "")) > 3 else [])
+
+    for r in got:
+        if r.call_id not in one:
+            assert r.status == "orphan" and r.position >= len(one)
+            continue
+        _, name, text, after, thread, _ = one[r.call_id]
+        assert (r.name, r.after, r.thread, r.depth, r.n_calls) == (name, after, thread, depth(r.call_id), sum(c[0] == r.call_id for c in calls))
+        want = errors(name, text)
+        assert len(r.errors) == len(want) and all(w is None or w == e for w, e in zip(want, r.errors)) and r.valid == (not want)
+        message = json.loads(r.message)
+        assert r.message == json.dumps(message, sort_keys=True, separators=(",", ":"))
+        assert message.get("arguments") == (None if not text or text == "{" else json.loads(text)) and message.get("raw_arguments") == ("{" if text == "{" else None)
+        if r.depth is not None and after in one:
+            assert seats[after] < r.position
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.quality_rules(docs, lab).count() == quality.keep_good(docs, lab).count() == toxicity.drop_toxic(docs, lab).count() == 0
+    assert attribution.attribute_tokens(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == licenses.scan_licenses(docs).count() == 0
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, 7, good, "en"), (1, 8, good, "en"), (1, 9, "short", "en"), (None, 7, None, None)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, text string, kept string")
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, lab, id_col="key", stratum_col="kept")
+    assert kept.columns == df.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows[:2]))
+    assert sorted(map(str, map(tuple, toxicity.drop_toxic(df, lab, id_col="key").collect()))) == sorted(map(str, rows))
+
+
+def test_alignment_against_all_windows():
+    """Within the band, the alignment's matches are at least those of the best ungapped window and at most the common subsequence."""
+    pick = random.Random(13)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(200):
+        template = [pick.randrange(6) for _ in range(pick.randint(3, 14))]
+        words = [pick.randrange(6) for _ in range(pick.randint(1, 20))]
+        shift = pick.randint(-3, 10)
+        got = licenses.align(template, words, shift)
+        best = 0
+        for d in range(shift - licenses.BAND, shift + licenses.BAND + 1):
+            score = 0
+            for i, x in enumerate(template):
+                if 0 <= i + d < len(words):
+                    score = max(0, score + (1 if words[i + d] == x else -1))
+                    best = max(best, score)
+        assert (got[0] if got else 0) >= best
+        if got:
+            m, b, e = got
+            assert m <= common(template, words[b:e]) and words[b] in template and words[e - 1] in template
+
+
 def test_pipeline_steps_follow_each_other(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     pick = random.Random(9)
