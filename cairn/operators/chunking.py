@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP_TOKENS = 500, 50
@@ -35,16 +36,18 @@ class SectionSplitter:
     def __init__(self, heading: str, pages: tuple[int, int], limit: int, overlap: int, count: Callable[[str], int]) -> None:
         self.count, self.limit, self.span = count, limit, pages
         self.prefix = f"[{heading}]\n" if heading and heading != "Preamble" else ""
-        self.room = max(1, limit - count(self.prefix)) if self.prefix else limit
+        self.space = limit - count(self.prefix)
+        self.room = max(1, self.space)
         self.overlap = min(overlap, self.room // 5)
         self.out: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.size, self.pages, self.listed = 0, set(), False
 
-    def carried(self, body: str) -> str:
+    def carried(self) -> str:
+        """Whole sentences from the end of what is held, within the overlap."""
         kept: list[str] = []
         total = 0
-        for sentence in reversed(split_sentences(body)):
+        for sentence in reversed([s for part in self.parts for s in split_sentences(part)]):
             total += self.count(sentence)
             if total > self.overlap:
                 break
@@ -54,32 +57,40 @@ class SectionSplitter:
     def flush(self, carry: bool) -> None:
         if not self.parts:
             return
-        body = "\n\n".join(self.parts)
-        self.out.append((self.prefix + body, min(self.pages, default=self.span[0]), max(self.pages, default=self.span[1]), self.listed))
-        seed = self.carried(body) if carry else ""
+        text = (self.prefix + "\n\n".join(self.parts).strip()).strip()
+        self.out.append((text, min(self.pages, default=self.span[0]), max(self.pages, default=self.span[1]), self.listed))
+        seed = self.carried() if carry else ""
         self.parts = [seed] if seed and self.count(seed) <= self.overlap else []
         self.size = self.count(seed) if self.parts else 0
         self.pages, self.listed = set(), False
 
-    def add(self, text: str, page: int | None, listed: bool) -> None:
-        n = self.count(text)
-        if self.parts and self.size + n > self.room:
+    def make_room(self, n: int) -> None:
+        """Hand out what is held if ``n`` more tokens do not fit; the overlap goes too if they still do not."""
+        if self.parts and self.size + n > self.space:
             self.flush(True)
-            if self.size + n > self.room:
+            if self.size + n > self.space:
                 self.parts, self.size = [], 0
+
+    def add(self, text: str, page: int | None, listed: bool) -> None:
+        n = self.count(text)
+        self.make_room(n)
         self.parts.append(text)
         self.size += n
-        if page is not None:
+        if page:
             self.pages.add(page)
         self.listed |= listed
 
     def split(self, blocks: list[dict]) -> list[tuple[str, int, int, bool]]:
         for b in blocks:
-            listed = b["block_type"] == "list_item"
-            if self.count(b["content"]) <= self.room:
-                self.add(b["content"], b["page"], listed)
+            listed, content = b["block_type"] == "list_item", b["content"].strip()
+            if not content:
+                continue
+            n = self.count(content)
+            if n <= self.room:
+                self.add(content, b["page"], listed)
                 continue
-            for sentence in split_sentences(b["content"]):
+            self.make_room(n)
+            for sentence in split_sentences(content):
                 pieces = [sentence] if self.count(sentence) <= self.room else split_words(sentence, self.room, self.count)
                 for piece in pieces:
                     self.add(piece, b["page"], listed)
@@ -113,6 +124,12 @@ def chunk_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS, overlap_to
     return cols.mapInPandas(run, CHUNK)
 
 
+def numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``chunk_index``, counted from 0 through a document's sections."""
+    order = W.partitionBy("doc").orderBy("section", "piece")
+    return chunks.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int"))
+
+
 def chunk_text(df: DataFrame, id_col: str, text_col: str, chunk_size: int = 1000) -> DataFrame:
     """Plain-text entry: page 1, a quarter of ``chunk_size`` (100 at least) tokens a chunk."""
     from .structure import sections

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STALE_MINUTES = 10
+#: The messages that a document's row shows.
+NO_TEXT, NO_CHUNKS = "No extractable text found in document", "No valid chunks remained after validation"
 
 
 def stage(rows: DataFrame, last_id: int) -> DataFrame:
@@ -30,7 +32,7 @@ def sweep(docs: DataFrame, now: Column, message: str = "processing timed out") -
 
 def outcome(total_chars: Column, n_valid: Column, error: Column) -> tuple[Column, Column]:
     """Final status and message of a run; messages are cut at 1,000 characters."""
-    message = F.when(error.isNotNull(), F.substring(error, 1, 1000)).when(total_chars == 0, "no text extracted").when(n_valid == 0, "no valid chunks")
+    message = F.when(error.isNotNull(), F.substring(error, 1, 1000)).when(total_chars == 0, NO_TEXT).when(n_valid == 0, NO_CHUNKS)
     return F.when(message.isNull(), "completed").otherwise("failed"), message
 
 

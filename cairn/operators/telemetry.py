@@ -76,3 +76,30 @@ def queue_efficiency(queue: Column, e2e: Column) -> Column:
 def eta_s(pages: Column, page_s: Column, chars: Column, embed_s: Column) -> Column:
     """Pages times extraction, plus embeddings of 2,000 characters each."""
     return pages * page_s + chars / 2000 * embed_s
+
+
+def durations(uploaded_ms: Column, dequeued_ms: Column, embedded_ms: Column) -> dict[str, Column]:
+    """Queue wait, worker time up to the start of persistence, and upload to that instant, in seconds.
+
+    Without an upload time nothing was waited for, and the worker's time stands for the whole.
+    """
+    worker = (embedded_ms - dequeued_ms) / 1000
+    whole = F.when(F.coalesce(uploaded_ms, F.lit(0)) == 0, worker).otherwise((embedded_ms - uploaded_ms) / 1000)
+    four = {"queue_wait_duration_s": queue_wait_s(dequeued_ms, uploaded_ms), "worker_pipeline_duration_s": worker, "upload_to_completion_duration_s": whole}
+    return {k: F.round(c, 4) for k, c in four.items()}
+
+
+def size_kb(size: Column) -> Column:
+    """Kilobytes with one decimal, halves upwards."""
+    return F.printf(F.lit("%.1f"), size / 1024)
+
+
+def shown(value: Column, enough: Column | None = None) -> Column:
+    """A number as text; ``--`` for null, or a note where there are no runs yet."""
+    text = F.coalesce(value.cast("string"), F.lit("--"))
+    return text if enough is None else F.when(enough, text).otherwise("Insufficient data")
+
+
+def embed_ms_per_chunk(elapsed_s: Column, chunks: Column) -> Column:
+    """Mean milliseconds a chunk over all rows; null without chunks."""
+    return 1000 * F.sum(elapsed_s) / F.nullif(F.sum(chunks), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -30,10 +30,18 @@ def judged(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when((F.col("verdict") == "ok") & ~first, "duplicate").otherwise(F.col("verdict")))
 
 
+def resembles(match: SequenceMatcher, before: str, content: str) -> bool:
+    """Whether ``content`` (the matcher's second text) is near ``before``; cheap upper bounds of the ratio come first."""
+    if abs(len(before) - len(content)) > max(80, int(0.15 * len(content))):
+        return False
+    match.set_seq1(before)
+    return match.real_quick_ratio() >= LEAST_RATIO and match.quick_ratio() >= LEAST_RATIO and match.ratio() >= LEAST_RATIO
+
+
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """Mark ok chunks as duplicate that resemble an accepted one of their document.
 
-    Order and argument order matter in the matcher, so a document's ok chunks are
+    Texts are compared in lower case with white space as single blanks. Order and argument order matter in the matcher, so a document's ok chunks are
     compared in sequence; a task holds one document.
     """
 
@@ -42,10 +50,9 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
         kept: list[str] = []
         verdicts = []
         for content in frame["clean"]:
-            near = any(
-                abs(len(p) - len(content)) <= max(80, int(0.15 * len(content))) and SequenceMatcher(None, p, content).ratio() >= LEAST_RATIO
-                for p in kept
-            )
+            content = re.sub(r"\s+", " ", content.lower())
+            match = SequenceMatcher(None, "", content)
+            near = any(resembles(match, p, content) for p in kept)
             if not near:
                 kept.append(content)
             verdicts.append("duplicate" if near else "ok")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import lifecycle, structure, telemetry, validation, vectorsearch
-from cairn.operators.chunking import chunk_sections
+from cairn.operators.chunking import chunk_sections, numbered
 from cairn.plans import tenancy
 from cairn.schemas import orphans
 
@@ -108,40 +108,36 @@ def near_dedup(spark, d):
 
 
 BROKEN = "chr(8226) || ' ' || replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), '. ', '.' || chr(13) || chr(10))"
-ASCII_ONLY = r"regexp_full_match(text, '[\x00-\x7f]*')"
+#: White space and word characters beyond ASCII, spelled out: this SQL engine's \s and \b are ASCII.
+BLANK = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WORDLY = "|".join(rf"[^\x00-\x7f\P{{{k}}}]" for k in ("L", "M", "Nd", "Nl", "Pc"))
 
 
 def broken_text():
     return F.concat(F.lit("• "), F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit(". "), F.lit(".\r\n")))
 
 
-DEHYPHENATED = r"""regexp_replace(regexp_replace({}, '(\b[A-Za-z]+)-\s*\n\s*([a-z]+[A-Za-z]*\b)', '\1\2', 'g'), '(\b[A-Za-z0-9]+)-\s*\n\s*([A-Za-z0-9]+\b)', '\1-\2', 'g')"""
+# A word character beyond ASCII is fenced by underscores for the while, so that \\b sees a word there.
+FENCED = rf"""regexp_replace({{}}, '({WORDLY})', '_' || chr(57344) || '\1' || chr(57344) || '_', 'g')"""
+JOINED = rf"""regexp_replace(regexp_replace({{}}, '(\b[A-Za-z]+)-{BLANK}*\n{BLANK}*([a-z]+[A-Za-z]*\b)', '\1\2', 'g'), '(\b[A-Za-z0-9]+)-{BLANK}*\n{BLANK}*([A-Za-z0-9]+\b)', '\1-\2', 'g')"""
 
 
-@query(f"SELECT doc_id, {DEHYPHENATED.format('replace(text, ' + repr('tion') + ', ' + repr('ti-') + ' || chr(10) || ' + repr('on') + ')')} AS text FROM documents WHERE {ASCII_ONLY}")
-def dehyphenate(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", T.dehyphenate(F.replace("text", F.lit("tion"), F.lit("ti-\non"))).alias("text"))
-
-
-CLEANED = r"regexp_replace(regexp_replace(" + DEHYPHENATED.format(r"regexp_replace(regexp_replace(" + BROKEN + r", '\r\n?', chr(10), 'g'), '(?m)^\s*[\x{FFFD}\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}\x{25AA}\x{25AB}\x{00B7}\x{25BA}\x{203A}]\s*', '- ', 'g')") + r", '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+def dehyphenated_sql(text: str) -> str:
+    joined = JOINED.replace("{}", FENCED.replace("{}", text))
+    return f"replace(replace({joined}, '_' || chr(57344), ''), chr(57344) || '_', '')"
 
 
-@query(f"SELECT doc_id, {CLEANED} AS text FROM documents WHERE {ASCII_ONLY}")
-def text_clean(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", T.clean(broken_text()).alias("text"))
+@query("SELECT doc_id, " + dehyphenated_sql("replace(text, 'tion', 'ti-' || chr(10) || 'on')") + " AS text FROM documents")
+def dehyphenate(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.dehyphenate(F.replace("text", F.lit("tion"), F.lit("ti-\non"))).alias("text"))
 
 
-@query()
-def dehyphenate_all(spark, d):
-    """``dehyphenate`` for texts in any script; DuckDB's \\s and \\b are ASCII, so tests compare with Python."""
-    return table(spark, d, "documents").select("doc_id", T.dehyphenate(F.replace("text", F.lit("tion"), F.lit("ti-\non"))).alias("text"))
+UNBULLETED = rf"""regexp_replace(regexp_replace({BROKEN}, '\r\n?', chr(10), 'g'), '(?m)^{BLANK}*[\x{{FFFD}}\x{{2022}}\x{{2023}}\x{{25E6}}\x{{2043}}\x{{2219}}\x{{25AA}}\x{{25AB}}\x{{00B7}}\x{{25BA}}\x{{203A}}]{BLANK}*', '- ', 'g')"""
+CLEANED = rf"regexp_replace(regexp_replace({dehyphenated_sql(UNBULLETED)}, '[ \t]{{2,}}', ' ', 'g'), '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
-@query()
-def text_clean_all(spark, d):
-    """``text_clean`` for texts in any script, tested like ``dehyphenate_all``."""
+@query(f"SELECT doc_id, {CLEANED} AS text FROM documents")
+def text_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean(broken_text()).alias("text"))
 
 
@@ -211,7 +207,7 @@ def sections(spark, d):
 @query()
 def chunks_full(spark, d):
     """Section-aware chunks of at most 40 white-space tokens, with sentence overlap of 8."""
-    return chunk_sections(structure.sections(pages(spark, d).distinct()), 40, 8)
+    return numbered(chunk_sections(structure.sections(pages(spark, d).distinct()), 40, 8))
 
 
 # --- relational surface ---------------------------------------------------------
@@ -234,15 +230,13 @@ def child_rows_ordered(spark, d):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 10")
 def tenant_documents(spark, d):
-    tenancy.declare(spark)
-    spark.sql(f"SET VARIABLE {tenancy.VARIABLE} = 10")  # the caller's session stays this tenant's
-    return tenancy.tenant_rows(table(spark, d, "orders"), "o_custkey").select("o_orderkey", "o_orderstatus")
+    return tenancy.tenant_rows(table(spark, d, "orders"), "o_custkey", 10).select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 10)")
 def tenant_chunks_semijoin(spark, d):
-    own = table(spark, d, "orders").where("o_custkey = 10").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(own, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+    rows = tenancy.tenant_children(table(spark, d, "lineitem"), table(spark, d, "orders"), "l_orderkey", "o_orderkey", "o_custkey", 10)
+    return rows.select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
@@ -332,6 +326,34 @@ def job_latest_status(spark, d):
     return lifecycle.latest_status(jobs(spark, d).select("user_id", "id", "status", "ts"), "user_id", ["ts", "id"])
 
 
+DEQUEUED = "(epoch_ms(ts) + CAST(1000 * k AS BIGINT))"
+
+
+@query(f"""WITH {RUNS} SELECT id, round((d - u) / 1000, 4) AS queue_wait_duration_s, round((e - d) / 1000, 4) AS worker_pipeline_duration_s, round((e - u) / 1000, 4) AS upload_to_completion_duration_s, printf('%.1f', round(id / 1024, 1)) AS size_kb, CASE WHEN run THEN CAST(CAST(k AS INTEGER) AS VARCHAR) ELSE '--' END AS chunks_shown
+ FROM (SELECT *, epoch_ms(ts) AS u, {DEQUEUED} AS d, {DEQUEUED} + CAST(round(1000 * v) AS BIGINT) AS e FROM r)""")
+def job_durations(spark, d):
+    """Durations from the three instants of a run, and the columns that a list shows."""
+    rows = jobs(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), "value", F.get_json_object("props", "$.k").cast("double").alias("k")), "id")
+    u = F.unix_millis(F.col("ts").cast("timestamp"))
+    begun = u + (1000 * F.col("k")).cast("long")
+    times = telemetry.durations(u, begun, begun + F.round(1000 * F.col("value")).cast("long"))
+    shown = telemetry.shown(F.when(F.col("status") == "completed", telemetry.number("$.chunks_count").cast("int")))
+    return rows.select("id", *[c.alias(k) for k, c in times.items()], telemetry.size_kb(F.col("id")).alias("size_kb"), shown.alias("chunks_shown"))
+
+
+@query(f"WITH {RUNS} SELECT status, 1000 * sum(v) / nullif(sum(k), 0) AS ms_per_chunk, CAST(max(k) AS BIGINT) AS max_tokens FROM r GROUP BY status")
+def embedding_rate(spark, d):
+    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double")).join(jobs(spark, d).select(F.col("id").alias("event_id"), "status"), "event_id")
+    return rows.groupBy("status").agg(telemetry.embed_ms_per_chunk(F.col("value"), F.col("k")).alias("ms_per_chunk"), F.max("k").cast("long").alias("max_tokens"))
+
+
+@query(f"WITH {RUNS} SELECT status, CAST(sum(length(d.text)) AS BIGINT) AS total_characters FROM r JOIN documents d ON d.doc_id = r.id GROUP BY status")
+def extracted_characters(spark, d):
+    """Characters of the documents behind the jobs, by status."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").alias("n"))
+    return jobs(spark, d).select("id", "status").join(docs, "id").groupBy("status").agg(F.sum("n").alias("total_characters"))
+
+
 # --- vectors --------------------------------------------------------------------
 
 AXIS = [1.0 if k % 2 else 0.5 for k in range(64)]
@@ -350,7 +372,7 @@ def ivf_topk(spark, d):
     centres = vectorsearch.fit_lists(vectors, lists=16)
     index = vectorsearch.nearest_lists(vectors, centres)
     asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return vectorsearch.ivf_top_k(index, asked, centres, k=5, probes=8)
+    return vectorsearch.ivf_top_k(index, asked, centres, k=5, probes=12)
 
 
 @query(f"""WITH a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], {AXIS_SQL}), vec_id) AS rank FROM embeddings QUALIFY rank <= 50),

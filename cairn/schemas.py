@@ -15,6 +15,7 @@ JOBS = "document_id long, storage_path string, file_type string, uploaded_at_ms
 FILE_TYPES = ("JPG", "JPEG", "PNG", "PDF", "DOCX", "TXT")
 STATUSES = ("pending", "processing", "completed", "failed")
 LIMITS = {"name": (1, 150), "username": (3, 50), "password": (8, 200), "email": (1, 254), "contact_no": (0, 20)}
+EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
 def document_expectations() -> dict[str, Column]:
@@ -27,13 +28,17 @@ def document_expectations() -> dict[str, Column]:
 
 
 def registration_errors(df: DataFrame) -> Column:
-    """Names of the fields out of their length limits; optional ones may be null."""
+    """Names of the fields out of their limits or form; optional ones may be null."""
     checks = []
     for name, (low, high) in LIMITS.items():
         if name in df.columns:
             bad = ~F.char_length(F.col(name)).between(low, high)
             bad = F.coalesce(bad, F.lit(name != "contact_no"))
+            if name == "email":
+                bad = bad | ~F.coalesce(F.col(name).rlike(EMAIL), F.lit(False))
             checks.append(F.when(bad, F.lit(name)))
+    if "dob" in df.columns:
+        checks.append(F.when(F.expr("try_to_date(CAST(dob AS STRING), 'yyyy-MM-dd') IS NULL"), F.lit("dob")))
     return F.array_compact(F.array(*checks))
 
 
@@ -44,6 +49,11 @@ def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str)
 
 
 def new_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
-    """Candidates whose username and email are both free (duplicates are turned away)."""
+    """Candidates whose username and email are both free (duplicates are turned away).
+
+    Of candidates in one batch that share either, one stays; another of them may
+    come again with the next batch.
+    """
     free = candidates.join(users.select("username"), "username", "left_anti")
-    return free.join(users.select("email"), "email", "left_anti")
+    free = free.join(users.select("email"), "email", "left_anti")
+    return free.dropDuplicates(["username"]).dropDuplicates(["email"])

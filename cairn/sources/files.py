@@ -43,14 +43,20 @@ def accepts(kind: Column, name: Column) -> Column:
 
 
 def docx_text(content: bytes) -> str:
-    """Paragraphs; headings and titles between blank lines, list items with "- "."""
+    """The body's own paragraphs, judged by style name (by id without a style sheet); headings and titles between blank lines, list items with "- "."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
+        sheet = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else None
+    names = {}
+    for style in sheet.iter(f"{WORD}style") if sheet is not None else ():
+        name = style.find(f"{WORD}name")
+        names[style.get(f"{WORD}styleId")] = name.get(f"{WORD}val") if name is not None else None
     out = []
-    for p in root.iter(f"{WORD}p"):
+    for p in root.findall(f"{WORD}body/{WORD}p"):
         text = "".join(t.text or "" for t in p.iter(f"{WORD}t")).strip()
         style = p.find(f"{WORD}pPr/{WORD}pStyle")
-        name = ((style.get(f"{WORD}val") if style is not None else None) or "").lower()
+        key = style.get(f"{WORD}val") if style is not None else None
+        name = (names.get(key, key) or "").lower()
         if text:
             out.append(f"\n{text}\n" if "heading" in name or "title" in name else f"- {text}" if "list" in name or "bullet" in name else text)
     return "\n\n".join(out)
@@ -80,6 +86,35 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def is_docx(content: bytes | None) -> bool:
+    """Whether a zip holds a word-processing document; any other zip does not."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            return "word/document.xml" in z.namelist()
+    except zipfile.BadZipFile:
+        return False
+
+
+def extract_each(files: DataFrame) -> DataFrame:
+    """``(document_id, file_type, content)`` to ``(document_id, pages, error)``: a document that
+    cannot be read keeps its message and does not stop the others."""
+    extractors = dict(EXTRACTORS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, kind, content in zip(frame["document_id"], frame["file_type"], frame["content"]):
+                try:
+                    if (kind or "").upper() not in extractors:
+                        raise ValueError(f"unsupported file type {kind}")
+                    rows.append((doc, [{"page": p, "text": t} for p, t in extractors[kind.upper()](bytes(content))], None))
+                except Exception as e:  # kept with the document
+                    rows.append((doc, [], str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["document_id", "pages", "error"])
+
+    return files.select("document_id", "file_type", "content").mapInPandas(run, "document_id long, pages array<struct<page:int,text:string>>, error string")
+
+
 def extract(files: DataFrame) -> DataFrame:
     """``(path, file_type, content)`` to cleaned ``(path, page, text)``; an unknown type fails."""
     extractors = dict(EXTRACTORS)

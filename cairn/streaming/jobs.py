@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,10 +27,35 @@ def run_jobs(jobs: DataFrame, process: Callable[[DataFrame, int], None], checkpo
     return jobs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def job_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Latest state per document of an event stream ``(document_id, ts, status)``; batch or stream."""
-    rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy("document_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+def job_states(events: DataFrame, delay: str = "10 minutes", keep: str = "1 day") -> DataFrame:
+    """Latest state per document of an event stream ``(document_id, ts, status)``.
+
+    Batch: over all events. Stream: the latest within each window of ``keep``, so
+    state is dropped once the watermark has passed the window's end; the newest
+    window of a document holds its state (see ``lifecycle.latest_status``).
+    """
+    last = [F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts")]
+    if not events.isStreaming:
+        return events.groupBy("document_id").agg(*last)
+    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", keep).alias("w"), "document_id").agg(*last)
+    return rows.select("document_id", F.col("w.start").alias("since"), "status", "ts")
+
+
+def sweep_stream(ticks: DataFrame, sweep: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes") -> StreamingQuery:
+    """Call ``sweep`` for stuck jobs at each tick of a stream (a rate source, say)."""
+    return ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run_with_restarts(start: Callable[[], StreamingQuery], tries: int = 3, pause_s: float = 1.0) -> None:
+    """Await a query; after a failure wait and start it again from its checkpoint."""
+    for k in range(tries):
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException:
+            if k == tries - 1:
+                raise
+            time.sleep(pause_s)
 
 
 def rate_windows(requests: DataFrame, minutes: int = 15, most: int = 300) -> DataFrame:

@@ -2,15 +2,19 @@
 
 import datetime as dt
 import io
+import json
+import os
 import random
+import re
 import zipfile
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import chunking, embedding, lifecycle, structure, telemetry, validation, vectorsearch
-from cairn.plans import tenancy
+from cairn.plans import ingestion, tenancy
 from cairn.schemas import document_expectations, new_users, registration_errors
 from cairn.sources import files
 from cairn.streaming import jobs
@@ -101,6 +105,108 @@ def test_sources(spark):
     assert one(spark, files.accepts(F.lit("JPG"), F.col("n")), n="x.JPEG") and not one(spark, files.accepts(F.lit("PDF"), F.col("n")), n="x.txt")
 
 
+def spec_chunks(heading, blocks, limit, overlap):
+    """The chunk rules, said once more and plainly: texts of one section over the limit (tokens by white space)."""
+    n = lambda t: len(t.split())
+    head = f"[{heading}]\n"
+    room = limit - n(head)
+    most = min(overlap, room // 5)
+    done, now = [], []
+
+    def tail():
+        out = []
+        for part in reversed(now):
+            for s in reversed([x for x in re.split(r"(?<=[.!?])\s+", part.strip()) if x]):
+                if n(" ".join([s, *out])) > most:
+                    return " ".join(out)
+                out.insert(0, s)
+        return " ".join(out)
+
+    def fit(k):
+        nonlocal now
+        if now and sum(map(n, now)) + k > room:
+            seed = tail()
+            done.append(head + "\n\n".join(now))
+            now = [seed] if seed and n(seed) + k <= room else []
+
+    for b in blocks:
+        fit(n(b))
+        if n(b) <= room:
+            now.append(b)
+            continue
+        for s in re.split(r"(?<=[.!?])\s+", b):
+            w = s.split()
+            for piece in [" ".join(w[i : i + room]) for i in range(0, len(w), room)] if len(w) > room else [s]:
+                fit(n(piece))
+                now.append(piece)
+    return done + [head + "\n\n".join(now)] if now else done
+
+
+def test_chunks_against_the_rules():
+    pick = random.Random(4)
+    count = chunking.COUNTERS["whitespace"]
+    for _ in range(300):
+        say = lambda k: " ".join(f"w{pick.randrange(99)}" + pick.choice(["", "", ".", "!"]) for _ in range(k))
+        blocks = [say(pick.choice([1, 3, 8, 20, 60])) for _ in range(pick.randint(1, 8))]
+        got = chunking.SectionSplitter("Some heading", (1, 2), 14, 8, count).split([{"content": b, "page": 1, "block_type": "paragraph"} for b in blocks])
+        assert [x[0] for x in got] == spec_chunks("Some heading", blocks, 14, 8)
+    small, big = "small para here.", " ".join(f"w{k}." for k in range(30))
+    got = chunking.SectionSplitter("H", (1, 1), 10, 2, count).split([{"content": c, "page": p, "block_type": "paragraph"} for c, p in ((small, 1), (big, 2))])
+    assert got[0][0] == "[H]\nsmall para here." and got[1][1] == 2
+
+
+def test_near_duplicates_by_normalised_text(spark):
+    base = "The Quick Brown Fox jumps over the lazy dog, again and again, until the evening comes; and then it rests"
+    rows = [(1, 0, base), (1, 1, base.upper() + "!"), (1, 2, base.replace("evening", "morning light")), (2, 0, base + "."), (2, 1, base.replace(" and then it", " and then she"))]
+    rows += [(3, k, f"sentence number {k} " + "of many words that differ " * (k % 3 + 1)) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc long, chunk_index int, content string")
+    got = {(r.doc, r.chunk_index): r.verdict for r in validation.near_duplicates(validation.judged(df)).collect()}
+    kept = {}
+    for doc, k, text in rows:
+        key = re.sub(r"\s+", " ", text.strip().lower())
+        near = any(abs(len(p) - len(key)) <= max(80, int(0.15 * len(key))) and SequenceMatcher(None, p, key).ratio() >= 0.97 for p in kept.setdefault(doc, []))
+        assert got[doc, k] == ("duplicate" if near else "ok"), (doc, k)
+        if not near:
+            kept[doc].append(key)
+    assert got[1, 1] == "duplicate"
+
+
+def test_ingestion_chain(spark, tmp_path):
+    body = "EXPERIENCE\n\nBuilt a distributed retrieval service for documents.\n\nMaintained many pipelines of the ingestion service for years."
+    files_ = [(1, "TXT", body.encode(), 1_000), (2, "txt", b"  \n ", 0), (3, "PDF", b"%PDF", 2_000), (4, "TXT", b"tiny", None), (5, "docx", docx([("Head one", "Heading1"), ("A paragraph with enough words in it to pass.", None)]), 1_000)]
+    df = spark.createDataFrame(files_, "document_id long, file_type string, content binary, uploaded_at_ms long")
+    clock = iter([5_000, 7_000, 5_000, 7_000])
+    for _ in range(2):  # again: the same table
+        out = {r.id: r for r in ingestion.ingest(df, f"{tmp_path}/chunks", f"{tmp_path}/work", now_ms=lambda: next(clock)).select("*", F.col("metrics").cast("string").alias("m")).collect()}
+        rows = spark.read.parquet(f"{tmp_path}/chunks").orderBy("document_id", "chunk_index").collect()
+        assert {k: r.status for k, r in out.items()} == {1: "completed", 2: "failed", 3: "failed", 4: "failed", 5: "completed"}
+        assert out[2].error_message == lifecycle.NO_TEXT and out[4].error_message == lifecycle.NO_CHUNKS and "PDF" in out[3].error_message and out[2].m is None
+        m, lost = json.loads(out[1].m), json.loads(out[3].m)
+        assert (m["queue_wait_duration_s"], m["worker_pipeline_duration_s"], m["upload_to_completion_duration_s"], m["chunks_count"], m["total_characters"]) == (4.0, 2.0, 6.0, 1, len(body))
+        assert lost["status"] == "failed" and lost["elapsed_before_failure_s"] == 2.0
+        assert [(r.document_id, r.chunk_index, r.metadata.chunk_index, len(r.embedding)) for r in rows] == [(1, 0, 0, 768), (5, 0, 0, 768)]
+    docs = spark.createDataFrame([(1, "pending", None), (9, "pending", None)], "id long, status string, processing_started_at timestamp")
+    assert {r.id: r.status for r in ingestion.to_processing(docs, df.select("document_id"), F.current_timestamp()).collect()} == {1: "processing", 9: "pending"}
+
+
+def test_recall_of_inverted_lists_on_the_table(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        return
+    from cairn.queries import QUERIES
+
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    m = np.array([r.embedding for r in rows])
+    ids = np.array([r.vec_id for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    found = {}
+    for r in QUERIES["ivf_topk"](spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = ids[ids % 20 == 0]
+    hits = sum(len(found.get(q, set()) & set(ids[np.argsort(-(m @ m[ids == q][0]), kind="stable")[:5]].tolist())) for q in asked.tolist())
+    assert set(found) == set(asked.tolist()) and hits >= 0.9 * 5 * len(asked)
+
+
 def test_tenants_see_their_own(spark):
     docs = spark.createDataFrame([(1, 5), (2, 6)], "id long, uploaded_by long")
     chunks = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "document_id long, chunk_index int")
@@ -141,9 +247,9 @@ def test_lifecycle_and_expectations(spark):
     now = F.expr("TIMESTAMP '2024-01-01 01:00:00'")
     docs = spark.createDataFrame([(1, "processing", dt.datetime(2024, 1, 1), None), (2, "processing", None, None), (3, "pending", dt.datetime(2024, 1, 1), None)], "id long, status string, processing_started_at timestamp, error_message string")
     assert {r.id: r.status for r in lifecycle.sweep(docs, now).collect()} == {1: "failed", 2: "processing", 3: "pending"}
-    rows = spark.createDataFrame([("n", "ab", "password", "e", None), ("n", "abc", "password", "e@x", "1")], "name string, username string, password string, email string, contact_no string")
-    assert [r.x for r in rows.select(registration_errors(rows).alias("x")).collect()] == [["username"], []]
-    assert new_users(rows, spark.createDataFrame([("abc", "q")], "username string, email string")).count() == 1
+    rows = spark.createDataFrame([("n", "ab", "password", "e@x.org", None), ("n", "abc", "password", "f@x.org", "1"), ("n", "abcd", "password", "no mail", "1")], "name string, username string, password string, email string, contact_no string")
+    assert [r.x for r in rows.select(registration_errors(rows).alias("x")).collect()] == [["username"], [], ["email"]]
+    assert new_users(rows, spark.createDataFrame([("abc", "q")], "username string, email string")).count() == 2
     assert not one(spark, document_expectations()["file_type_ok"], file_type="EXE")
 
 
@@ -179,7 +285,7 @@ def test_cleaning_of_all_documents_against_python(spark, tmp_path):
 
     texts = ["Die Lektion über Größe. Ende", "éa-\nb nation-\u00a0\nal", "ab-\u2003\ncé x", "la acción, tion\u2019s  motion.  fin\u00a0", "\u2022 plain station", "ñ-\nx ab-\nC9", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {q: {r.doc_id: r.text for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dehyphenate_all", "text_clean_all")}
+    got = {q: {r.doc_id: r.text for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dehyphenate", "text_clean")}
     split = lambda t: t.replace("tion", "ti-\non")
-    assert got["dehyphenate_all"] == {k: None if t is None else dehyphenated(split(t)) for k, t in enumerate(texts)}
-    assert got["text_clean_all"] == {k: cleaned(None if t is None else "\u2022 " + split(t).replace(". ", ".\r\n")) for k, t in enumerate(texts)}
+    assert got["dehyphenate"] == {k: None if t is None else dehyphenated(split(t)) for k, t in enumerate(texts)}
+    assert got["text_clean"] == {k: cleaned(None if t is None else "\u2022 " + split(t).replace(". ", ".\r\n")) for k, t in enumerate(texts)}
