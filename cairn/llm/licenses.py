@@ -144,8 +144,10 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, least_
 
     ``coverage``: matched words over the template's. Where matches overlap, the
     one with most matched words is kept (ties: greater coverage, earlier
-    template). Null and empty texts have none; rows repeat as in ``df``. A map
-    over the scan; the index travels with the code, as templates are few.
+    template). Null and empty texts have none; rows repeat as in ``df``, also with
+    null ids; an empty table gives an empty one; other columns are not read. Very long
+    texts are scanned whole, in pieces of a megabyte, and aligned only around hits. A
+    map over the scan; the index travels with the code, as templates are few.
     """
     templates = TEMPLATES if templates is None else templates
 

@@ -184,8 +184,11 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048, ga
     source, key or group of copies weighs no more than its bytes, and a retried
     task repeats the same plan. Padding at a partition's end is cut into
     power-of-two sequences. Null and empty texts are documents of one token
-    (the end id). Repeated rows are packed each on its own. Other columns of
-    ``df`` are not read.
+    (the end id). Repeated rows and null ids are packed each on its own; equal plans
+    by cost are decided by position. Very long texts are cut like others: a block of
+    tokens is planned at once and its open end carried on. An empty table gives an
+    empty one. Other columns of ``df`` are not read. ``gap``: of several sentence ends
+    within so many tokens only the last is a place to cut; document ends all are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

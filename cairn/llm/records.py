@@ -76,7 +76,9 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, out: str, voca
     One range shuffle by id; each range is sorted (by id, then text; nulls
     first) and becomes one shard, written to a name of its own attempt and then
     renamed: a retried or twice-run task replaces an equal file. Returns one
-    manifest row per shard, in order. Null texts count as empty.
+    manifest row per shard, in order. Null texts count as empty, null ids come
+    first, ties keep all rows, an empty table writes nothing, and other columns are
+    not read. A very long text is one record: memory is that of its ids.
     """
     wide = "<u2" if vocab <= 0x10000 else "<u4"
 
