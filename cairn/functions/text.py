@@ -47,13 +47,9 @@ def dedup_key(c: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), 256)
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
-
-
 def token_count(c: Column) -> Column:
     """White-space tokens: the offline stand-in for a BPE count."""
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 def is_trivial(c: Column, tokens: Column) -> Column:
@@ -62,10 +58,10 @@ def is_trivial(c: Column, tokens: Column) -> Column:
 
 def is_noise(c: Column) -> Column:
     """Scanner noise, judged from 40 characters on."""
-    n, w = F.char_length(c), words(c)
+    n, n_words = F.char_length(c), token_count(c)
     letters = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]"))
-    single = F.size(F.filter(w, lambda x: (F.char_length(x) == 1) & x.rlike(r"^\p{L}$")))
-    spaced = (F.size(w) >= 20) & (single / F.size(w) > 0.40)
+    single = F.regexp_count(c, F.lit(r"(?U)(?<!\S)\p{L}(?!\S)"))
+    spaced = (n_words >= 20) & (single / n_words > 0.40)
     return (n >= 40) & ((F.regexp_count(c, F.lit(r"\x{FFFD}")) >= 3) | (letters / n < 0.35) | F.coalesce(spaced, F.lit(False)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,20 @@ def hashed_model(texts: list[str]) -> list[list[float]]:
     return out
 
 
-def embed(df: DataFrame, text: Column, model: Callable[[list[str]], list[list[float]]] = hashed_model) -> DataFrame:
-    """Add ``embedding``; a wrong length fails the query. Row order never matters."""
+def embed(df: DataFrame, text: Column, model: Callable[[list[str]], list[list[float]]] = hashed_model, at_once: int = 1, per_call: int = 256) -> DataFrame:
+    """Add ``embedding``; a wrong length fails the query. Row order never matters.
+
+    The model gets at most ``per_call`` texts a call. For a remote model ``at_once``
+    calls of a task may run side by side; vectors come back in the texts' order.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(model(batch.fillna("").tolist()))
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                texts = batch.fillna("").tolist()
+                calls = [texts[k : k + per_call] for k in range(0, len(texts), per_call)]
+                vectors = pool.map(model, calls) if at_once > 1 else map(model, calls)
+                yield pd.Series([v for call in vectors for v in call])
 
     return df.withColumn("embedding", require_dimension(run(text), DIMENSIONS))

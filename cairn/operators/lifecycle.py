@@ -12,12 +12,19 @@ NO_TEXT, NO_CHUNKS = "No extractable text found in document", "No valid chunks r
 
 
 def stage(rows: DataFrame, last_id: int) -> DataFrame:
-    """New documents as pending, with ids after ``last_id`` in the order of their paths.
+    """New documents as pending, with dense ids after ``last_id`` that depend on their paths alone.
 
-    The numbering is global, so it takes one batch of uploads, not a corpus.
+    Rows are dealt to 4,096 groups by a digest of the path and numbered within
+    each; only the groups' counts, at most 4,096 rows, are summed in one task. A
+    null path counts as empty; rows of one path get successive ids.
     """
-    number = F.row_number().over(W.orderBy("storage_path")) + F.lit(last_id)
-    return rows.withColumn("id", number.cast("long")).withColumn("status", F.lit("pending"))
+    rows = rows.withColumn("_group", F.substring(F.md5(F.coalesce("storage_path", F.lit(""))), 1, 3))
+    counts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_group").rowsBetween(W.unboundedPreceding, -1))
+    firsts = counts.select("_group", F.coalesce(before, F.lit(0)).alias("_first"))
+    place = F.row_number().over(W.partitionBy("_group").orderBy("storage_path"))
+    numbered = rows.withColumn("_place", place).join(F.broadcast(firsts), "_group")
+    return numbered.withColumn("id", F.col("_first") + F.col("_place") + F.lit(last_id).cast("long")).withColumn("status", F.lit("pending")).drop("_group", "_place", "_first")
 
 
 def stale(docs: DataFrame, now: Column) -> DataFrame:

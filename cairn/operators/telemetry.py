@@ -89,6 +89,11 @@ def durations(uploaded_ms: Column, dequeued_ms: Column, embedded_ms: Column) ->
     return {k: F.round(c, 4) for k, c in four.items()}
 
 
+def stage_timings(seconds: dict[str, Column]) -> Column:
+    """The six stages' seconds, four places each; a stage that was not measured is null."""
+    return F.struct(*[F.round(seconds.get(k, F.lit(None).cast("double")), 4).alias(k) for k in STAGES])
+
+
 def size_kb(size: Column) -> Column:
     """Kilobytes with one decimal, halves upwards."""
     return F.printf(F.lit("%.1f"), size / 1024)

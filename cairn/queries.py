@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import lifecycle, structure, telemetry, validation, vectorsearch
 from cairn.operators.chunking import chunk_sections, numbered
-from cairn.plans import tenancy
-from cairn.schemas import orphans
+from cairn.plans import ingestion, tenancy
+from cairn.schemas import document_expectations, new_users, orphans, registration_errors
+from cairn.sources import files
+from cairn.streaming.jobs import rate_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -251,6 +253,72 @@ def fk_orphans(spark, d):
     return orphans(table(spark, d, "orders"), customers, "o_custkey", "c_custkey").agg(F.count("*").alias("orphans"))
 
 
+@query("SELECT o_orderkey, 'uploads/' || o_orderkey AS storage_path, 1000 + row_number() OVER (ORDER BY substr(md5('uploads/' || o_orderkey), 1, 3), 'uploads/' || o_orderkey) AS id, 'pending' AS status FROM orders")
+def stage_documents(spark, d):
+    """Orders as uploads that get their ids."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("uploads/"), F.col("o_orderkey").cast("string")).alias("storage_path"))
+    return lifecycle.stage(rows, 1000)
+
+
+@query("""SELECT c_custkey, concat_ws(',', CASE WHEN length(substr(c_mktsegment, 1, 1 + c_custkey % 9)) < 3 THEN 'username' END, CASE WHEN length(substr(c_name, 1, 5 + c_custkey % 6)) < 8 THEN 'password' END,
+ CASE WHEN c_custkey % 3 = 0 THEN 'email' END, CASE WHEN length(repeat('5', CAST(15 + c_nationkey AS INTEGER))) > 20 THEN 'contact_no' END, CASE WHEN TRY_CAST('1990-02-' || lpad(CAST(1 + c_custkey % 31 AS VARCHAR), 2, '0') AS DATE) IS NULL THEN 'dob' END) AS errors FROM customer""")
+def registration_checks(spark, d):
+    """Customers as registrations, some with a short name or password, no mail address, a long number or no such date."""
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.substr("c_mktsegment", F.lit(1), 1 + key % 9).alias("username"), F.substr("c_name", F.lit(1), 5 + key % 6).alias("password"),
+        F.concat("c_name", F.when(key % 3 == 0, F.lit("")).otherwise(F.lit("@example.org"))).alias("email"),
+        F.repeat(F.lit("5"), 15 + F.col("c_nationkey")).alias("contact_no"), F.concat(F.lit("1990-02-"), F.lpad((1 + key % 31).cast("string"), 2, "0")).alias("dob"),
+    )
+    return rows.select("c_custkey", F.array_join(registration_errors(rows), ",").alias("errors"))
+
+
+@query("""SELECT doc_id, n_chars - 100 >= 0 AS size_ok, doc_id % 7 < 6 AS file_type_ok, doc_id % 5 < 4 AS status_ok FROM documents""")
+def document_checks(spark, d):
+    """Documents as upload rows, some below zero in size or outside the enumerations."""
+    kinds, states = (F.array(*[F.lit(x) for x in values]) for values in (("JPG", "JPEG", "PNG", "PDF", "DOCX", "TXT", "EXE"), ("pending", "processing", "completed", "failed", None)))
+    pick = lambda of, n: F.get(of, (F.col("doc_id") % n).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") - 100).alias("size_bytes"), pick(kinds, 7).alias("file_type"), pick(states, 5).alias("status"))
+    return rows.select("doc_id", *[c.alias(k) for k, c in document_expectations().items()])
+
+
+@query("SELECT c_custkey, c_name AS username FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
+def free_users(spark, d):
+    """Customers as candidates; of a third the name is taken, of a fifth the address."""
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("username"), F.concat("c_name", F.lit("@example.org")).alias("email"))
+    key = F.col("c_custkey")
+    users = rows.where((key % 3 == 0) | (key % 5 == 0)).select(F.when(key % 3 == 0, F.col("username")).alias("username"), F.when(key % 5 == 0, F.col("email")).alias("email"))
+    return new_users(rows, users).select("c_custkey", "username")
+
+
+@query("SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': nullif(lang, 'fr'), 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS body FROM documents")
+def document_json(spark, d):
+    """Rows as a service would return them, null fields included."""
+    body = F.struct("doc_id", F.nullif(F.col("lang"), F.lit("fr")).alias("lang"), "source", "n_chars")
+    return table(spark, d, "documents").select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
+@query(r"""SELECT doc_id, kind AS file_type, coalesce(kind = CASE doc_id % 3 WHEN 0 THEN 'TXT' ELSE 'PDF' END, FALSE) AS accepted FROM (SELECT doc_id, CASE WHEN starts_with(x, '%PDF') THEN 'PDF'
+ WHEN x = '' OR contains(x, chr(0)) OR length(regexp_replace(x, '[^--]', '', 'g')) >= 0.01 * strlen(x) THEN NULL ELSE 'TXT' END AS kind
+ FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '%PDF-1.7 ' || text WHEN 1 THEN '' WHEN 2 THEN replace(text, ' ', chr(1)) ELSE text END AS x FROM documents))""")
+def upload_types(spark, d):
+    """Texts as uploads: behind a PDF mark, emptied, with control bytes for blanks, or as they are."""
+    k = F.col("doc_id") % 5
+    x = F.when(k == 0, F.concat(F.lit("%PDF-1.7 "), F.col("text"))).when(k == 1, F.lit("")).when(k == 2, F.replace("text", F.lit(" "), F.lit("\x01"))).otherwise(F.col("text"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("a.txt")).otherwise(F.lit("b.pdf"))
+    rows = table(spark, d, "documents").select("doc_id", name.alias("name"), files.sniff(F.encode(x, "UTF-8")).alias("file_type"))
+    return rows.select("doc_id", "file_type", files.accepts(F.col("file_type"), F.col("name")).alias("accepted"))
+
+
+@query("""SELECT doc_id, CASE WHEN message IS NULL THEN 'completed' ELSE 'failed' END AS status, message FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 1000)
+ WHEN doc_id % 4 = 0 THEN 'No extractable text found in document' WHEN doc_id % 3 = 0 THEN 'No valid chunks remained after validation' END AS message FROM documents)""")
+def run_outcomes(spark, d):
+    """Statuses and messages of runs; each fifth fails with its text as the exception's."""
+    key = F.col("doc_id")
+    status, message = lifecycle.outcome(key % 4, key % 3, F.when(key % 5 == 0, F.col("text")))
+    return table(spark, d, "documents").select("doc_id", status.alias("status"), message.alias("message"))
+
+
 # --- telemetry ------------------------------------------------------------------
 
 STATUS = {"purchase": "completed", "click": "completed", "error": "failed", "signup": "processing"}
@@ -326,6 +394,36 @@ def job_latest_status(spark, d):
     return lifecycle.latest_status(jobs(spark, d).select("user_id", "id", "status", "ts"), "user_id", ["ts", "id"])
 
 
+@query(f"WITH {RUNS} SELECT id, CASE WHEN old THEN 'failed' ELSE status END AS status, CASE WHEN old THEN 'processing timed out' END AS error_message FROM (SELECT *, status = 'processing' AND ts < {NOW} - INTERVAL 10 MINUTES AS old FROM r)")
+def swept_jobs(spark, d):
+    rows = jobs(spark, d).withColumnRenamed("ts", "processing_started_at").withColumn("error_message", F.lit(None).cast("string"))
+    return lifecycle.sweep(rows, F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("id", "status", "error_message")
+
+
+@query(f"WITH {RUNS} SELECT id, CASE WHEN user_id % 2 = 0 THEN 'processing' ELSE status END AS status, CASE WHEN user_id % 2 = 0 THEN {NOW} ELSE ts END AS processing_started_at FROM r")
+def begun_jobs(spark, d):
+    """The jobs of every other user as one batch that begins."""
+    rows = jobs(spark, d).withColumnRenamed("ts", "processing_started_at")
+    batch = rows.where("user_id % 2 = 0").select(F.col("id").alias("document_id"))
+    return ingestion.to_processing(rows, batch, F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("id", "status", "processing_started_at")
+
+
+@query("SELECT user_id AS client, time_bucket(INTERVAL 15 MINUTES, ts) AS start, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY ALL")
+def rate_limits(spark, d):
+    requests = table(spark, d, "events").select("ts", F.col("user_id").alias("client"))
+    return rate_windows(requests, 15, 1)
+
+
+@query(f"WITH {RUNS} SELECT id, round(v, 4) AS extraction_s, round(v / 4, 4) AS chunking_s, k AS embedding_s, CAST(NULL AS DOUBLE) AS persistence_s, round(k * 0.25 + v / 2000 * 0.5, 8) AS eta_s FROM r")
+def timings_and_eta(spark, d):
+    """Stage timings of a run, one of them not measured, and the time that the next would take."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    timings = telemetry.stage_timings({"text_extraction_s": F.col("v"), "section_chunking_s": F.col("v") / 4, "embedding_generation_s": F.col("k")})
+    names = {"extraction_s": "text_extraction_s", "chunking_s": "section_chunking_s", "embedding_s": "embedding_generation_s", "persistence_s": "database_persistence_s"}
+    eta = F.round(telemetry.eta_s(F.col("k"), F.lit(0.25), F.col("v"), F.lit(0.5)), 8)
+    return rows.withColumn("t", timings).select("id", *[F.col(f"t.{c}").alias(k) for k, c in names.items()], eta.alias("eta_s"))
+
+
 DEQUEUED = "(epoch_ms(ts) + CAST(1000 * k AS BIGINT))"
 
 
@@ -365,6 +463,12 @@ def vector_topk(spark, d):
     return vectorsearch.top_k(table(spark, d, "embeddings"), AXIS, 10).withColumn("distance", F.round("distance", 6))
 
 
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings")
+def vector_dimensions(spark, d):
+    """Every vector passes the check of its length, else the query fails."""
+    return table(spark, d, "embeddings").select("vec_id", F.size(T.require_dimension(F.col("embedding"), 64)).alias("dimensions"))
+
+
 @query()
 def ivf_topk(spark, d):
     """Every 20th vector against all, through inverted lists."""

@@ -82,6 +82,39 @@ def needs_scan_reader(page_text: Column) -> Column:
     return F.char_length(F.trim(F.coalesce(page_text, F.lit("")))) < SPARSE_CHARS
 
 
+def routed(pages: list[tuple[int, str]], read_scan: Callable[[int], str]) -> list[tuple[int, str]]:
+    """Pages of a PDF: one with under 50 characters is read as an image instead.
+
+    Where that fails or gives nothing the sparse text stays.
+    """
+    out = []
+    for page, text in pages:
+        if len((text or "").strip()) < SPARSE_CHARS:
+            try:
+                text = read_scan(page) or text
+            except Exception:  # one bad image must not lose the document
+                pass
+        out.append((page, text or ""))
+    return out
+
+
+def resolve(spark: SparkSession, path: str, roots: tuple[str, ...] = ()) -> str:
+    """The first of ``path`` and ``path`` below each root that exists, in any store that the session reads; else its absolute form."""
+    paths, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for candidate in (path, *(f"{r.rstrip('/')}/{path.lstrip('/')}" for r in roots)):
+        place = paths(candidate)
+        store = place.getFileSystem(conf)
+        if store.exists(place):
+            return store.makeQualified(place).toString()
+    place = paths(path)
+    return place.getFileSystem(conf).makeQualified(place).toString()
+
+
+def storage_name(name: Column) -> Column:
+    """A fresh name for an upload: a random identifier and the file's own name without folders."""
+    return F.concat_ws("-", F.expr("uuid()"), F.regexp_extract(name, r"([^/\\]*)$", 1))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 

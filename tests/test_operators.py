@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import time
 import zipfile
 from difflib import SequenceMatcher
 
@@ -253,6 +254,62 @@ def test_lifecycle_and_expectations(spark):
     assert not one(spark, document_expectations()["file_type_ok"], file_type="EXE")
 
 
+def test_staged_ids_are_dense_and_depend_on_paths_alone(spark):
+    paths = [f"p{k}" for k in range(500)] + ["p7", None, None]
+    def staged(names):
+        return lifecycle.stage(spark.createDataFrame([(p, "clash") for p in names], "storage_path string, status string").repartition(7), 40).collect()
+
+    rows = staged(paths)
+    assert sorted(r.id for r in rows) == list(range(41, 41 + len(paths))) and {r.status for r in rows} == {"pending"}
+    assert sorted((r.storage_path or "", r.id) for r in rows) == sorted((r.storage_path or "", r.id) for r in staged(paths[::-1]))
+    assert staged([]) == []
+
+
+def test_noise_counts_letters_standing_alone(spark):
+    texts = ["a b c d e f g h i j k " + "word " * 12, "a b c d e f g h " + "word " * 20, "é ü a b c d e f\u00a0g h. i, " + "word " * 10, "x" * 40, "", None, "... " * 12, "a1 b 2 c " * 8]
+
+    def noise(t):
+        if t is None or len(t) < 40:
+            return None if t is None else False
+        w = t.split()
+        spaced = len(w) >= 20 and sum(len(x) == 1 and x.isalpha() for x in w) / len(w) > 0.40
+        return t.count("\ufffd") >= 3 or sum(x.isalnum() for x in t) / len(t) < 0.35 or spaced
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.orderBy("k").select(T.is_noise(F.col("t")).alias("x"), T.token_count(F.col("t")).alias("n")).collect()
+    assert [r.x for r in got][:5] + [r.x for r in got][6:] == [noise(t) for t in texts][:5] + [noise(t) for t in texts][6:]
+    assert [r.n for r in got] == [None if t is None else len(t.split()) for t in texts]
+
+
+def test_sparse_pages_paths_and_names(spark, tmp_path):
+    def scan(page):
+        if page == 3:
+            raise OSError("no reader")
+        return {2: "read from the image", 4: ""}.get(page)
+
+    long = "text " * 20
+    assert files.routed([(1, long), (2, "few"), (3, "kept"), (4, " few "), (5, None)], scan) == [(1, long), (2, "read from the image"), (3, "kept"), (4, " few "), (5, "")]
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.txt").write_text("x")
+    found = files.resolve(spark, "a.txt", (str(tmp_path), f"{tmp_path}/up"))
+    assert found == f"file:{tmp_path}/up/a.txt" and files.resolve(spark, found) == found
+    assert files.resolve(spark, f"{tmp_path}/none") == f"file:{tmp_path}/none"
+    name = one(spark, files.storage_name(F.col("n")), n="../x\\y/report 1.pdf")
+    assert re.fullmatch(r"[0-9a-f-]{36}-report 1\.pdf", name)
+
+
+def test_vectors_of_many_calls_keep_their_order(spark):
+    df = spark.createDataFrame([(k, f"w{k}") for k in range(50)], "k int, t string")
+
+    def slow(texts):
+        assert len(texts) <= 3
+        time.sleep(random.random() / 50)
+        return embedding.hashed_model(texts)
+
+    a, b = (embedding.embed(df, F.col("t"), *x).orderBy("k").collect() for x in ((), (slow, 5, 3)))
+    assert a == b
+
+
 def test_vectors(spark):
     pick = random.Random(0)
     vectors = [(k, [pick.gauss(0, 1) + (k % 4) * (j == k % 4) * 4 for j in range(8)]) for k in range(200)]
