@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import statistics
 import time
 import zipfile
 from difflib import SequenceMatcher
@@ -244,6 +245,18 @@ def test_telemetry_nulls(spark):
     assert [(r.id, r.chunks_count) for r in telemetry.history(docs).collect()] == [(4, None), (3, None), (2, 4), (1, None)]
 
 
+def test_medians_against_python(spark):
+    rng = random.Random(3)
+    cases = {"odd": [rng.random() for _ in range(4001)], "even": [rng.gauss(0, 9) for _ in range(3000)], "ties": [1.0] * 2000 + [2.0] * 2000 + [9.5], "two": [1.0, 2.00013], "one": [7.123456], "split": [1.0] * 50 + [2.5] * 50, "none": []}
+    rows = [tuple(v[k] if k < len(v) else None for v in cases.values()) for k in range(4001)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in cases))
+    got = telemetry.medians(df, {k: F.col(k) for k in cases}).first().asDict()
+    want = {k: None if not v else statistics.median(v) if len(v) % 2 else round(statistics.median(v), 4) for k, v in cases.items()}
+    assert got == want
+    assert telemetry.medians(df.limit(0), {k: F.col(k) for k in cases}).collect() == [tuple([None] * len(cases))]
+
+
 def test_lifecycle_and_expectations(spark):
     now = F.expr("TIMESTAMP '2024-01-01 01:00:00'")
     docs = spark.createDataFrame([(1, "processing", dt.datetime(2024, 1, 1), None), (2, "processing", None, None), (3, "pending", dt.datetime(2024, 1, 1), None)], "id long, status string, processing_started_at timestamp, error_message string")
