@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 BULLETS = r"\x{FFFD}\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}\x{25AA}\x{25AB}\x{00B7}\x{25BA}\x{203A}"
 
 
+#: White space of Unicode, as ``(?U)\s`` has it (fixed values).
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without outer white space; a trim looks at a text's ends, a pattern at all of it."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def dehyphenate(c: Column) -> Column:
@@ -48,8 +53,11 @@ def dedup_key(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    """White-space tokens: the offline stand-in for a BPE count."""
-    return F.regexp_count(c, F.lit(r"(?U)\S+"))
+    """White-space tokens: the offline stand-in for a BPE count.
+
+    Each word shrinks to its first character, so none is copied into an array.
+    """
+    return F.char_length(F.regexp_replace(c, r"(?U)(\S)\S*\s*|\s+", "$1"))
 
 
 def is_trivial(c: Column, tokens: Column) -> Column:
@@ -59,16 +67,18 @@ def is_trivial(c: Column, tokens: Column) -> Column:
 def is_noise(c: Column) -> Column:
     """Scanner noise, judged from 40 characters on."""
     n, n_words = F.char_length(c), token_count(c)
-    letters = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]"))
+    letters = F.char_length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    unknown = n - F.char_length(F.replace(c, F.lit("\ufffd")))
     single = F.regexp_count(c, F.lit(r"(?U)(?<!\S)\p{L}(?!\S)"))
     spaced = (n_words >= 20) & (single / n_words > 0.40)
-    return (n >= 40) & ((F.regexp_count(c, F.lit(r"\x{FFFD}")) >= 3) | (letters / n < 0.35) | F.coalesce(spaced, F.lit(False)))
+    return (n >= 40) & ((unknown >= 3) | (letters / n < 0.35) | F.coalesce(spaced, F.lit(False)))
 
 
 def is_broken(c: Column) -> Column:
     """Whether the body behind a "[heading] " ends inside a hyphenated word."""
-    body = F.regexp_replace(strip(c), r"^\[[^\]\n]{1,120}\]\s+", "")
-    return F.regexp_like(body, F.lit(r"[A-Za-z0-9]-$"))
+    c = strip(c)
+    body = F.regexp_replace(c, r"^\[[^\]\n]{1,120}\]\s+", "")
+    return F.endswith(c, F.lit("-")) & F.regexp_like(body, F.lit(r"[A-Za-z0-9]-$"))
 
 
 def stitch(pages: Column) -> Column:

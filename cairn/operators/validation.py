@@ -19,10 +19,12 @@ def judged(chunks: DataFrame) -> DataFrame:
     """``(doc, chunk_index, content)`` with its verdict: ok, empty, noise, broken, long or duplicate.
 
     Filters come first; of equal normalised texts in a document the first that
-    passes them stays.
+    passes them stays. ``n_chars`` is the clean text's length, so that a sum of it
+    need not carry the text through the shuffle. Filter on the verdict behind this,
+    not before: pushed under the text's columns, the filter would repeat them all.
     """
     rows = chunks.withColumn("clean", T.sanitize(F.col("content"))).withColumn("repaired", F.col("clean") != F.col("content"))
-    rows = rows.withColumn("tokens", T.token_count(F.col("clean")))
+    rows = rows.withColumn("tokens", T.token_count(F.col("clean"))).withColumn("n_chars", F.char_length("clean"))
     c = F.col("clean")
     verdict = F.when(T.is_trivial(c, F.col("tokens")), "empty").when(T.is_noise(c), "noise").when(T.is_broken(c), "broken").when(F.col("tokens") > TOKEN_LIMIT, "long").otherwise("ok")
     rows = rows.withColumn("verdict", verdict).withColumn("key", T.dedup_key(c))

@@ -359,3 +359,22 @@ def test_cleaning_of_all_documents_against_python(spark, tmp_path):
     split = lambda t: t.replace("tion", "ti-\non")
     assert got["dehyphenate"] == {k: None if t is None else dehyphenated(split(t)) for k, t in enumerate(texts)}
     assert got["text_clean"] == {k: cleaned(None if t is None else "\u2022 " + split(t).replace(". ", ".\r\n")) for k, t in enumerate(texts)}
+
+
+def test_text_measures_against_patterns(spark):
+    """Trims and counts are those of the plain patterns, whatever the white space and whatever stands around."""
+    blanks = [chr(k) for k in range(0x3100) if chr(k).isspace() and not 0x1C <= k <= 0x1F]
+    assert sorted(blanks) == sorted(T.BLANKS)
+    pick = random.Random(5)
+    pieces = [*T.BLANKS, "\x1c", "\u200b", "\ufeff", "\ufffd", "a", "\u00e9", "Z9", "-", ".", "[h] ", "word", "\U0001d54f", "日本", "é", "\n"]
+    texts = ["", " ", "\n\n", "a-", "[head] a-", "[head] -", "[a-", "a-\n", None] + ["".join(pick.choices(pieces, k=pick.randint(1, 60))) for _ in range(400)]
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        T.strip(c).alias("strip"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias("strip_"),
+        T.token_count(c).alias("tokens"), F.regexp_count(c, F.lit(r"(?U)\S+")).alias("tokens_"),
+        T.is_broken(c).alias("broken"), F.regexp_like(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"^\[[^\]\n]{1,120}\]\s+", ""), F.lit(r"[A-Za-z0-9]-$")).alias("broken_"),
+        T.is_noise(c).alias("noise"), ((F.char_length(c) >= 40) & ((F.regexp_count(c, F.lit(r"\x{FFFD}")) >= 3) | (F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / F.char_length(c) < 0.35)
+            | F.coalesce((F.regexp_count(c, F.lit(r"(?U)\S+")) >= 20) & (F.regexp_count(c, F.lit(r"(?U)(?<!\S)\p{L}(?!\S)")) / F.regexp_count(c, F.lit(r"(?U)\S+")) > 0.4), F.lit(False)))).alias("noise_"),
+    )
+    for r in rows.collect():
+        assert (r.strip, r.tokens, r.broken, r.noise) == (r.strip_, r.tokens_, r.broken_, r.noise_), r
