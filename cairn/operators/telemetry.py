@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Into how many ranges the values of a series are dealt to find its median.
 RANGES = 256
+#: Parts of one that ``steady_sum`` adds as whole numbers, and the size from which it does not.
+PARTS, PLAIN = 10_000.0, 1e6
 
 STAGES = ("text_extraction_s", "structure_parsing_s", "section_chunking_s", "chunk_validation_s", "embedding_generation_s", "database_persistence_s")
 
@@ -81,6 +83,17 @@ def history(docs: DataFrame) -> DataFrame:
     return docs.select("id", "status", chunks.alias("chunks_count"), number("$.queue_wait_duration_s").alias("queue_wait_s"), number("$.worker_pipeline_duration_s").alias("worker_s"), number("$.upload_to_completion_duration_s").alias("e2e_s")).orderBy(F.desc_nulls_last("id"))
 
 
+def steady_sum(x: Column) -> Column:
+    """A sum that does not depend on the order of the rows.
+
+    Ten-thousandths are added as whole numbers, so decimals of up to four places
+    sum to the double nearest to their true sum; only what is left of other
+    numbers, and numbers from a million, are added as doubles.
+    """
+    whole = F.when(F.abs(x) < PLAIN, F.rint(x * PARTS).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.sum(whole) / PARTS + F.sum(x - whole / PARTS)
+
+
 def stage_shares(stages: dict[str, Column]) -> list[Column]:
     """Each stage's share in per cent, one place; missing is 0, a zero sum counts as 1."""
     filled = {k: F.coalesce(c, F.lit(0.0)) for k, c in stages.items()}

@@ -372,8 +372,12 @@ def metrics_history(spark, d):
 @query("""WITH s AS (SELECT l_orderkey, sum(l_quantity) AS a, sum(l_tax) AS b, sum(l_discount) AS c FROM lineitem GROUP BY 1)
  SELECT l_orderkey, round(100 * a / t, 1) AS quantity_pct, round(100 * b / t, 1) AS tax_pct, round(100 * c / t, 1) AS discount_pct FROM (SELECT *, CASE WHEN a + b + c = 0 THEN 1.0 ELSE a + b + c END AS t FROM s)""")
 def stage_share_pct(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("a"), F.sum("l_tax").alias("b"), F.sum("l_discount").alias("c"))
-    return s.select("l_orderkey", *telemetry.stage_shares({"quantity": F.col("a"), "tax": F.col("b"), "discount": F.col("c")}))
+    """Sums are free of the rows' order, else shares that end in half a place round either way; null where a sum is null."""
+    sums = {"quantity": "l_quantity", "tax": "l_tax", "discount": "l_discount"}
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(*[telemetry.steady_sum(F.col(c)).alias(k) for k, c in sums.items()])
+    known = F.expr(" AND ".join(f"{k} IS NOT NULL" for k in sums))
+    shares = telemetry.stage_shares({k: F.col(k) for k in sums})
+    return s.select("l_orderkey", *[F.when(known, x).alias(f"{k}_pct") for k, x in zip(sums, shares, strict=True)])
 
 
 @query(f"WITH {RUNS} SELECT id, round(1 - k / nullif(v + k, 0), 6) AS efficiency FROM r WHERE run")

@@ -237,6 +237,24 @@ def test_replace_is_idempotent_and_streams_resume(spark, tmp_path):
     assert jobs.rate_windows(events.withColumn("client", F.lit("a")), most=1).first().limited
 
 
+def test_stage_shares_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from cairn.queries import QUERIES, SQL
+    from tests.oracle import expected, rows
+
+    lines = [(49.0, 0.05, 0.01), (9.0, 0.05, 0.09), (29.0, 0.05, 0.05), (6.0, 0.07, 0.03), (40.0, 0.02, 0.05), (2.0, 0.08, 0.06), (16.0, 0.06, 0.03), (2.0, 0.07, 0.09), (38.0, 0.07, 0.07)]
+    orders = {1: lines, 2: sorted(lines), 3: sorted(lines)[::-1], 4: [(1.0, None, 0.5), (2.0, None, None)], 5: [(0.0, 0.0, 0.0)], 6: [(2e6, 1e-7, 1.0), (3.0, 0.1, 0.2)], None: [(1.0, 0.25, 0.5)]}
+    columns = zip(*[(k, *r) for k, v in orders.items() for r in v], strict=True)
+    pq.write_table(pa.table(dict(zip(("l_orderkey", "l_quantity", "l_tax", "l_discount"), map(list, columns), strict=True))), f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["stage_share_pct"](spark, str(tmp_path)).toPandas()
+    exact = SQL["stage_share_pct"]  # the same in decimals
+    for c in ("l_quantity", "l_tax", "l_discount"):
+        exact = exact.replace(f"sum({c})", f"CAST(sum(CAST({c} AS DECIMAL(28, 10))) AS DOUBLE)")
+    assert rows(got) == rows(expected(exact, str(tmp_path)))
+
+
 def test_telemetry_nulls(spark):
     docs = spark.createDataFrame([(1, "completed", '{"worker_pipeline_duration_s": null, "chunks_count": 0}'), (2, "completed", '{"worker_pipeline_duration_s": 3.0, "chunks_count": 4}'), (3, "failed", "{}"), (4, "pending", None)], "id long, status string, m string")
     docs = docs.select("id", "status", F.parse_json("m").alias("metrics"))
