@@ -10,6 +10,7 @@ import statistics
 import time
 import zipfile
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -209,6 +210,33 @@ def test_recall_of_inverted_lists_on_the_table(spark):
     assert set(found) == set(asked.tolist()) and hits >= 0.9 * 5 * len(asked)
 
 
+def test_inverted_lists_in_blocks_with_copies_and_rows_without_a_direction(spark, monkeypatch):
+    pick = random.Random(3)
+    vectors = {k: [pick.gauss(0, 1) for _ in range(8)] for k in range(400)}
+    vectors |= {k: vectors[7] for k in range(100, 190)} | {k: [2 * x for x in vectors[8]] for k in range(200, 210)}
+    inf, nan = float("inf"), float("nan")
+    vectors |= {20: [0.0] * 8, 21: [0.0] * 8, 40: None, 41: None, 60: [nan] + [1.0] * 7, 61: [1.0] * 7 + [inf], 62: [1.0] * 7 + [None]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").repartition(3)
+    vectors = {r.vec_id: r.embedding for r in df.collect()}  # as floats
+    centres = vectorsearch.fit_lists(df, lists=4)
+    dot = lambda x, y: list(accumulate((p * q for p, q in zip(x, y, strict=True)), initial=0.0))[-1]
+
+    def distance(x, y):
+        if None in (x, y) or None in x or None in y or not any(x) or not any(y):
+            return None
+        return 1 - dot(x, y) / (dot(x, x) ** 0.5 * dot(y, y) ** 0.5)
+
+    rank = lambda x: (x[0] is None, x[0] != x[0], x[0] if x[0] is not None and x[0] == x[0] else 0.0, x[1])
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    for block, rows, k in ((4096, df, 5), (64, df, 5), (4096, df.where("vec_id IN (3, 20, 21, 41, 60, 61, 62)"), 9)):
+        monkeypatch.setattr(vectorsearch, "BLOCK", block)
+        got = vectorsearch.ivf_top_k(vectorsearch.nearest_lists(rows, centres), asked, centres, k=k, probes=4).orderBy("query_id", "rank").collect()
+        ids = [r.vec_id for r in rows.collect()]
+        for q in range(0, 400, 20):
+            want = sorted(((distance(vectors[i], vectors[q]), i) for i in ids), key=rank)[:k]
+            assert [(str(r.distance), r.vec_id, r["rank"]) for r in got if r.query_id == q] == [(str(d), i, n + 1) for n, (d, i) in enumerate(want)], (block, q)
+
+
 def test_tenants_see_their_own(spark):
     docs = spark.createDataFrame([(1, 5), (2, 6)], "id long, uploaded_by long")
     chunks = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "document_id long, chunk_index int")
