@@ -7,7 +7,8 @@ R = 1 - 3/4 or less. The steps:
 2. First pivots. Nearly all distances between documents are 1, and there the
    triangle inequality prunes nothing: it would put every document into every
    region. So only pivots that can be near are looked up, through an inverted
-   index of prefix shingles in one global order, rare before frequent: two linked
+   index of prefix shingles in one global order, those of rare words before those
+   of common words and frequent ones last: two linked
    documents share one among their first quarter (the overlap bound). The pivot of
    a shingle is the least document that holds it there; a document belongs to the
    regions of its shingles' pivots, so each linked pair meets in a region.
@@ -36,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, stash
-from .shingles import batch_sets
+from .scratch import drop, own_shuffles, stash
+from .shingles import as_set, batch_sets, batch_words, ordered_set
 
 #: Frequent shingles that are put last in the order; it only affects speed.
 FREQUENT = 1 << 17
 #: Shingles counted together, and the least count there that is reported.
 COUNTED, REPORTED = 1 << 21, 3
+#: Common words, by which shingles are ordered, and the least count of a word that is reported.
+WORDS, WORD_REPORTED = 1 << 16, 32
+#: Prefix rows are dealt by shingle to up to SLICES shuffles, one after the other, from SLICE_ROWS rows each.
+SLICES, SLICE_ROWS = 4, 1 << 23
 #: Row ids are broadcast up to this many (8 MB), else shuffled.
 BROADCAST_ROWS = 1_000_000
 BLOCK, LEAF, PIVOTS = 64, 128, 8
@@ -69,47 +74,80 @@ def pick_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def profile(texts: DataFrame, width: int) -> DataFrame:
-    """One row per document (n, key of its set) and one per frequent shingle of a chunk."""
+    """One row per document (n, key of its set) and one per frequent shingle, or common word, of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = np.empty(COUNTED, np.uint64), 0
+        shingles, words = Chunk(REPORTED), Chunk(WORD_REPORTED)
         for batch in batches:
             n, key = [], []
-            for x in batch_sets(batch.column(1), width):
+            for said in batch_words(batch.column(1)):
+                x = as_set(said, width)
                 n.append(len(x))
                 key.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                for at in range(0, len(x), COUNTED):
-                    part = x[at : at + COUNTED]
-                    if size + len(part) > COUNTED:
-                        yield counts(held[:size])
-                        size = 0
-                    held[size : size + len(part)] = part
-                    size += len(part)
+                for found in shingles.add(x):
+                    yield row(token=found)
+                for found in words.add(said):
+                    yield row(word=found)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), none, none], names=names)
-        if size:
-            yield counts(held[:size])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), none, none, none], names=names)
+        yield row(token=shingles.counts())
+        yield row(word=words.counts())
 
-    def counts(held: np.ndarray) -> pa.RecordBatch:
+    def row(token: tuple | None = None, word: tuple | None = None) -> pa.RecordBatch:
+        key, count = token or word
+        none, key = pa.nulls(len(key), pa.int64()), pa.array(key.view(np.int64))
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(key), pa.binary()), key if token else none, pa.array(count, pa.int64()), key if word else none], names=names)
+
+    names = ["doc_id", "n", "key", "token", "count", "word"]
+    return texts.mapInArrow(run, "doc_id long, n long, key binary, token long, count long, word long")
+
+
+class Chunk:
+    """Counts keys, COUNTED at a time, and gives those found ``least`` times there."""
+
+    def __init__(self, least: int):
+        self.held, self.size, self.least = np.empty(COUNTED, np.uint64), 0, least
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(keys), COUNTED):
+            part = keys[at : at + COUNTED]
+            if self.size + len(part) > COUNTED:
+                yield self.counts()
+            self.held[self.size : self.size + len(part)] = part
+            self.size += len(part)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        held, least = self.held[: self.size], self.least
         held.sort()
-        at = np.flatnonzero(held[REPORTED - 1 :] == held[: len(held) - REPORTED + 1]) if len(held) >= REPORTED else np.zeros(0, np.int64)
+        at = np.flatnonzero(held[least - 1 :] == held[: len(held) - least + 1]) if len(held) >= least else np.zeros(0, np.int64)
         at = at[np.append(True, held[at[1:]] != held[at[:-1]])] if len(at) else at  # first places of those that repeat so often
-        token = held[at]
-        count = np.searchsorted(held, token, "right") - at
-        none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=names)
+        key = held[at]
+        self.size = 0
+        return key, np.searchsorted(held, key, "right") - at
+
 
-    names = ["doc_id", "n", "key", "token", "count"]
-    return texts.mapInArrow(run, "doc_id long, n long, key binary, token long, count long")
+def commonest(seen: DataFrame, kind: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a ``kind`` with the highest counts, in ascending order, and their counts."""
+    with own_shuffles(seen.sparkSession):
+        top = seen.where(f"{kind} is not null").groupBy(F.col(kind).alias("key")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "key").limit(most).collect()
+    key, count = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(key)
+    return key[order], count[order]
 
 
-def prefixes(texts: DataFrame, width: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """``(token, node, n, first)``: each set's probe prefix and size; first: also in the index prefix."""
+def prefixes(texts: DataFrame, width: int, frequent: np.ndarray, rank: np.ndarray, words: np.ndarray, often: np.ndarray) -> DataFrame:
+    """``(token, node, n, first)``: each set's probe prefix and size; first: also in the index prefix.
+
+    The order: shingles of rare words first, by the logarithms of the counts of
+    their words, so that few texts share one by chance; ``frequent`` ones last.
+    """
+    level = np.round(4 * np.log2(np.maximum(often, 1))).astype(np.int16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, count, first, size = [], [], [], []
-            for x in batch_sets(batch.column(1), width):
+            for said in batch_words(batch.column(1)):
+                x = ordered_set(said, width, words, level)
                 n = len(x)
                 if n and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
@@ -128,6 +166,23 @@ def prefixes(texts: DataFrame, width: int, frequent: np.ndarray, rank: np.ndarra
     return texts.mapInArrow(run, "token long, node long, n long, first boolean")
 
 
+def place(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``(token, node, n, pivot, open)`` of the prefix rows whose shingle another document holds, and where they are kept.
+
+    Shingles are dealt to slices, so that only a slice's rows are on disk twice.
+    """
+    slices = min(SLICES, 1 + rows.count() // SLICE_ROWS)
+    found, kept = None, []
+    for k in range(slices):
+        own = rows.where(F.pmod("token", F.lit(slices)) == k)
+        regions = own.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.max("first").alias("open"))
+        regions, regions_at = stash(regions.where("pivot <> last").select("token", "pivot", "open"), "regions")
+        part, at = stash(own.join(regions, "token").select("token", "node", "n", "pivot", "open"), "placed")
+        drop(rows.sparkSession, regions_at)
+        found, kept = part if found is None else found.union(part), [*kept, at]
+    return found, kept
+
+
 def overlap_needed(a: str, b: str):
     """ceil(3 (a + b) / 7) less what the longer rest behind a prefix can hold."""
     a, b = F.col(a), F.col(b)
@@ -185,7 +240,7 @@ def cell_pairs(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     sides = cells.groupBy(*key, "label").agg(F.count("*").alias("k"))
     total = sides.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = cells.select("cell", "node", "n", "label", "home").join(total, key).join(sizes, ["node", "n"]).withColumn("is_main", F.col("label") == F.col("main"))
+    rows = cells.select("cell", "node", "n", "label", "home").join(total, key).join(sizes.select("node", "n", "tokens"), ["node", "n"]).withColumn("is_main", F.col("label") == F.col("main"))
     rows = rows.withColumn("main_blocks", blocks(F.col("k_main"))).withColumn("other_blocks", blocks(F.col("k") - F.col("k_main")))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int")
     rows = rows.withColumn("own", own)
@@ -306,11 +361,8 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen, seen_at = stash(profile(texts, width), "profile", TEXTS)
     docs = seen.where("n is not null").select("doc_id", "n", "key")
-    top = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    frequent, count = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    del top
-    order = np.argsort(frequent)
-    frequent, rank = frequent[order], count[order]
+    frequent, rank = commonest(seen, "token", FREQUENT)
+    words, count = commonest(seen, "word", WORDS)
 
     sets = docs.where("key is not null and doc_id is not null")
     repeated = sets.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
@@ -323,18 +375,21 @@ def jaccard_components(df: DataFrame, width: int = 5, id_col: str = "doc_id", te
     live = texts.where("doc_id is not null")
     stands = members.where("node <> doc_id").select("doc_id").distinct().join(members.where("node = doc_id").select("doc_id"), "doc_id", "left_anti")
     live = pick_ids(live, stash(stands, "copies")[0], "left_anti")
-    rows, rows_at = stash(prefixes(live, width, frequent, rank), "prefixes", TEXTS)
-    regions = rows.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.max("first").alias("open"))
-    regions, regions_at = stash(regions.where("pivot <> last").select("token", "pivot", "open"), "regions")
-    placed, placed_at = stash(rows.join(regions, "token").select("token", "node", "n", "pivot", "open"), "placed")
-    drop(spark, rows_at, regions_at)
+    rows, rows_at = stash(prefixes(live, width, frequent, rank, words, count), "prefixes", TEXTS)
+    placed, placed_at = place(rows)
+    drop(spark, rows_at)
 
-    sizes, sizes_at = stash(placed.groupBy("node", "n").agg(F.collect_set("token").alias("tokens")), "sizes")
+    sizes = placed.groupBy("node", "n").agg(F.collect_set("token").alias("tokens"))
+    sizes, sizes_at = stash(sizes.withColumn("m", F.size("tokens")), "sizes")
     stars, stars_at = stash(placed.where("open and node <> pivot").select("pivot", "node").distinct(), "stars")
-    drop(spark, placed_at)
+    drop(spark, *placed_at)
 
+    # token lists are joined only to pairs whose sizes allow a link
+    few = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"))
     of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    met = stars.withColumnRenamed("node", "member").join(of("pivot"), "pivot").join(of("member"), "member").where(near_size("n_pivot", "n_member"))
+    met = stars.withColumnRenamed("node", "member").join(few("pivot"), "pivot").join(few("member"), "member").where(near_size("n_pivot", "n_member"))
+    met = met.where(F.least("m_pivot", "m_member") >= overlap_needed("n_pivot", "n_member"))
+    met = met.join(of("pivot"), ["pivot", "n_pivot"]).join(of("member"), ["member", "n_member"])
     met = met.where(F.size(F.array_intersect("t_pivot", "t_member")) >= overlap_needed("n_pivot", "n_member"))
     links = verify(live, met.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), width)
     labels = components(links.union(repeated_ids(members, repeated)))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A plan's shuffle files go when it ends, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,6 +33,17 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside delete their shuffle files when they end."""
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, was)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
     """Plans run inside hand Python at most ``rows`` rows at once (null: as the session has it)."""
@@ -47,11 +60,12 @@ def stash(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataFrame,
     """Write ``df`` to the shared folder and read it back: cuts the lineage.
 
     A lost executor then costs a reread of files, not a recomputation. ``rows``
-    bounds the Arrow batches of the write, for rows that hold whole texts.
+    bounds the Arrow batches of the write, for rows that hold whole texts. The
+    shuffle files of the write are deleted after it.
     """
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    with arrow_rows(spark, rows):
+    with arrow_rows(spark, rows), own_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -100,6 +100,23 @@ def as_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(fold(words, min(width, len(words))))
 
 
+def ordered_set(words: np.ndarray, width: int, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The set of shingle keys by the levels of their words, then by key.
+
+    ``common``: sorted keys of words with a ``level``; other words have level 0.
+    """
+    if not len(words) or not len(common):
+        return as_set(words, width)
+    width = min(width, len(words))
+    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+    own = np.where(common[at] == words, level[at], 0).astype(np.int16)
+    total = own[: len(words) - width + 1].copy()
+    for j in range(1, width):
+        total += own[j : len(words) - width + 1 + j]
+    keys, first = np.unique(fold(words, width), return_index=True)
+    return keys[np.argsort(total[first], kind="stable")]
+
+
 def batch_words(column: pa.Array) -> Iterator[np.ndarray]:
     """Word keys of each text of an Arrow string column; null is empty."""
     column = column.cast(pa.large_binary())

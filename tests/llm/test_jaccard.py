@@ -172,3 +172,45 @@ def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in drop_near_copies(df.union(df)).collect())
     assert kept == sorted(k for k, _, c in brute(rows) if k == c)
+
+
+def test_shuffle_files_go_with_their_plan(spark):
+    import time
+
+    from cairn.llm.scratch import stash
+
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = store.getAllFiles()
+        return {x for i in range(found.size()) if (x := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    kept, _ = stash(spark.range(1000).selectExpr("id % 100 AS k").repartition(3).groupBy("k").count(), "files")
+    for _ in range(20):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left and kept.selectExpr("sum(count)").first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_shingles_of_rare_words_come_first(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WORD_REPORTED", 5)
+    pick = random.Random(4)
+    rows = [(k, " ".join([pick.choice("abc") for _ in range(40)] + [f"x{k}y{j}" for j in range(40)])) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words = jaccard.commonest(jaccard.profile(df, 5), "word", jaccard.WORDS)
+    assert len(words[0]) == 3
+    shared = lambda w: jaccard.prefixes(df, 5, *none, *w).groupBy("token").count().where("count > 1").count()
+    assert shared(words) == 0 < shared(none)
+
+
+def test_slices_lose_no_shingle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE_ROWS", 1)
+    monkeypatch.setattr(jaccard, "WORD_REPORTED", 3)
+    rows = corpus(5)[:150]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute(rows)
